@@ -122,36 +122,79 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"fp": part[rows], "anchor": found})
 
 
-def _forest(left: np.ndarray, right: np.ndarray | None, threshold: int) -> list[tuple[int, int]]:
-    """Links within left, or between left and right, reduced to a spanning forest (node, smaller node of its tree)."""
-    every = left if right is None else np.unique(np.concatenate([left, right]))
-    parent = {x: x for x in every.tolist()}
+class _Forest:
+    """Joins linked values and gives an edge to the smallest value of its tree for each of the others."""
 
-    def find(x: int) -> int:
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        parent.setdefault(x, x)
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    other = left if right is None else right
-    for at in range(0, len(left), 512):
-        part = left[at : at + 512]
-        for y in range(0, len(other), 4096):
-            i, j = np.nonzero(np.bitwise_count(part[:, None] ^ other[None, y : y + 4096]) <= threshold)
-            for a, b in zip(part[i].tolist(), other[y : y + 4096][j].tolist()):
-                ra, rb = find(a), find(b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-    return [(x, r) for x in parent if (r := find(x)) != x]
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        for a, b in zip(left.tolist(), right.tolist()):
+            ra, rb = self.find(a), self.find(b)
+            if ra != rb:
+                self.parent[max(ra, rb)] = min(ra, rb)
+
+    def edges(self) -> pd.DataFrame:
+        found = [(x, r) for x in self.parent if (r := self.find(x)) != x]
+        return pd.DataFrame(np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+
 
+#: Groups of up to so many rows are compared together with their neighbours in the batch.
+SMALL = 48
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One pair of blocks of one anchor."""
-    fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    block = pdf["block"].to_numpy()
-    links = _forest(np.unique(fp), None, THRESHOLD) if i == j else _forest(np.unique(fp[block == i]), np.unique(fp[block == j]), THRESHOLD)
-    return pd.DataFrame(np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+
+def _close(left: np.ndarray, right: np.ndarray, forest: _Forest, threshold: int) -> None:
+    for at in range(0, len(left), 512):
+        for y in range(0, len(right), 4096):
+            part, other = left[at : at + 512], right[y : y + 4096]
+            i, j = np.nonzero(np.bitwise_count(part[:, None] ^ other[None]) <= threshold)
+            forest.join(part[i], other[j])
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by (anchor, i, j), a group being one pair of blocks of one anchor; the last group of a batch waits for the next."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        i, j, block = (pdf[c].to_numpy() for c in ("i", "j", "block"))
+        first = starts(pdf)
+        size = np.diff(np.append(first, len(pdf)))
+        group, forest = np.repeat(np.arange(len(first)), size), _Forest()
+        small = np.repeat(size <= SMALL, size)
+        for step in range(1, min(SMALL, int(size.max(initial=1)))):
+            a = np.flatnonzero((group[:-step] == group[step:]) & small[:-step])
+            a = a[np.bitwise_count(fp[a] ^ fp[a + step]) <= THRESHOLD]
+            forest.join(fp[a], fp[a + step])
+        for g in np.flatnonzero(size > SMALL).tolist():
+            at = slice(first[g], first[g] + size[g])
+            own, side = fp[at], block[at]
+            same = i[first[g]] == j[first[g]]
+            _close(own if same else own[side == i[first[g]]], own if same else own[side == j[first[g]]], forest, THRESHOLD)
+        return forest.edges()
+
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        keys = pdf[["anchor", "i", "j"]].to_numpy()
+        return np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+
+    kept = None
+    for pdf in batches:
+        pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = int(starts(pdf)[-1])
+        kept = pdf.iloc[last:]
+        if last:
+            yield run(pdf.iloc[:last])
+    if kept is not None and len(kept):
+        yield run(kept)
 
 
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -163,7 +206,8 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     rows = rows.select("fp", "anchor", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    return rows.groupBy("anchor", "i", "j").applyInPandas(_compare, "a long, b long")
+    rows = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    return rows.mapInPandas(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
