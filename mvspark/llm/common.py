@@ -50,6 +50,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def row_key(id_col: Column, text: Column) -> list[Column]:
+    """Two columns, never null, that tell documents apart by id and text: _i and _th."""
+    return [F.coalesce(id_col.cast("string"), F.lit("null")).alias("_i"), F.xxhash64(text).alias("_th")]
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (_row, _i, _th): all columns of docs in one struct, so that no name can clash, and the row's key."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(F.col(id_col), F.col(text_col)))
+
+
+#: Up to so many keys of rows are broadcast (16 bytes and the id each).
+BROADCAST_KEYS = 500_000
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """df, to be broadcast if it has at most that many rows; df should be stored, as it is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as edges (a, b) of longs: rows (node, root), root the smallest node.
 

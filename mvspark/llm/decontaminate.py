@@ -1,12 +1,12 @@
 """Benchmark decontamination by winnowing.
 
-Words: A-Z lower-cased, runs of digits, a-z and non-ASCII characters. Of each K-word gram's
-hash, the smallest in every WINDOW consecutive grams is kept, for documents and benchmark items
+Words: A-Z lower-cased, runs of digits, a-z and non-ASCII characters. Of the hashes of all K-word
+grams the smallest in every WINDOW consecutive ones is kept, for documents and benchmark items
 alike; a shared span of K + WINDOW - 1 = SPAN words therefore shares a kept hash, whatever
-stands around it. Documents' hashes that the benchmark holds too are extended: every SPAN-word
-window around the hit is compared word by word with the items' windows. An item of fewer than
-SPAN words is one window of its own length; for the few lengths that occur, all grams of that
-length are compared. DataFrame operations only.
+stands around it. Where a document keeps a hash that the benchmark keeps too, the SPAN words of
+its window are compared with the items' windows word by word; windows that overlap extend a hit
+word by word. An item of fewer than SPAN words is one window of its own length; for the few
+lengths that occur, all grams of that length are compared. DataFrame operations only.
 
 Long texts are cut in chunks of CHUNK words that overlap by SPAN - 1, so that no row grows with
 its text and no window is lost.
@@ -17,36 +17,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mvspark.llm.common import ascii_lower
+from mvspark.llm.common import ascii_lower, checked_broadcast, keyed, row_key, stored
 
 SPAN, K = 10, 5
 WINDOW = SPAN - K + 1
 CHUNK = 4096
-#: Lower-case words; and the same for texts that still have A-Z, to count without lowering.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, in lower-cased texts and in texts that still have A-Z.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Up to so many fingerprints or windows of the benchmark are broadcast; beyond it the joins are shuffled.
 BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
 
 
-def _grams(first: Column, last: Column, f) -> Column:
-    """Array of f(i) for i from first to last; empty if there is none."""
-    return F.when(first <= last, F.transform(F.sequence(first, last), f)).otherwise(F.array().cast("array<long>"))
+def _kept(chunks: DataFrame) -> DataFrame:
+    """Rows (..., w, j, f): for each place j (from 0) in the words w, the smallest of the WINDOW gram hashes from there on.
 
-
-def _kept(w: Column) -> Column:
-    """Winnowed fingerprints of a word array: hash in the high 44 bits, 1-based position in the low 20."""
-    hashes = _grams(F.lit(1), F.size(w) - K + 1, lambda i: F.shiftleft(F.xxhash64(F.slice(w, i, K)), 20) + i.cast("long"))
-    kept = F.transform(F.array(hashes), lambda h: _grams(F.lit(1), F.size(h) - WINDOW + 1, lambda j: F.array_min(F.slice(h, j, WINDOW))))
-    return F.array_distinct(kept[0])
+    Words are hashed once; grams and minima are plain expressions over array elements, which Spark compiles.
+    """
+    rows = chunks.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - SPAN)).alias("j"))
+    grams = [F.xxhash64(*(F.get("wh", F.col("j") + (a + b)) for b in range(K))) for a in range(WINDOW)]
+    return rows.withColumn("f", F.least(*grams)).drop("wh")
 
 
 def _span_at(w: Column, start: Column, n) -> Column:
-    return F.array_join(F.slice(w, start, n), " ")
+    # never null, which spares the optimizer from testing that before the look-up
+    return F.coalesce(F.array_join(F.slice(w, start, n), " "), F.lit(""))
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -66,55 +66,62 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("n", "span").agg(F.collect_set("item").alias("items"))
 
 
-def decontaminate(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """One row per row of docs: id_col, n_words, n_hit (words inside any occurrence of a window), items (array of ids).
-
-    A null or wordless text has no words and no hits. An item with a null id or without words is no
-    item; rows that repeat an item's id add windows to it. Documents are told apart by id and text,
-    so repeated rows and null ids get the result of their text. Other columns are ignored.
-    """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows (_i, _th, n_hit, items) of the documents that hold a window; see common.row_key for the first two."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(*row_key(F.col(id_col), F.col(text_col)), words(F.col(text_col)).alias("w"))
     windows = item_windows(items, item_col, item_text)
     sizes = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most SPAN rows
-    small = F.broadcast if sum(sizes.values()) <= broadcast_rows else (lambda df: df)
+    bounded = sum(sizes.values()) <= broadcast_rows
+    small = F.broadcast if bounded else (lambda df: df)
 
-    texts = base.where("text is not null").select("id", "th", words(F.col("text")).alias("w"))
     found = []
     if SPAN in sizes:
         item_words = items.where(F.col(item_col).isNotNull()).select(words(F.col(item_text)).alias("w"))
-        known = _chunks(item_words.where(F.size("w") >= SPAN)).select(F.explode(_kept(F.col("w"))).alias("f"))
-        known = known.select(F.shiftright("f", 20).alias("f")).distinct()
-        chunks = _chunks(texts.where(F.size("w") >= SPAN))
-        kept = chunks.withColumn("k", _kept(F.col("w"))).select("*", F.explode("k").alias("f")).drop("k")
-        kept = kept.select("id", "th", "c", "w", F.shiftright("f", 20).alias("f"), F.col("f").bitwiseAND((1 << 20) - 1).cast("int").alias("p"))
-        if sum(sizes.values()) <= broadcast_rows:
-            hits = kept.join(F.broadcast(known), "f", "left_semi")
-        else:  # the words stay behind: only ids and positions are shuffled for the look-up
-            at = kept.drop("w").join(known, "f", "left_semi").groupBy("id", "th", "c").agg(F.collect_set("p").alias("ps"))
-            same = chunks["id"].eqNullSafe(at["id"]) & (chunks["th"] == at["th"]) & (chunks["c"] == at["c"])
-            hits = chunks.join(at, same).select(chunks["id"], chunks["th"], chunks["c"], "w", F.explode("ps").alias("p"))
-        first, last = F.greatest(F.col("p") + K - SPAN, F.lit(1)), F.least(F.col("p"), F.size("w") - SPAN + 1)
-        spans = F.transform(F.sequence(first, last), lambda s: F.struct((s + F.col("c") * CHUNK).alias("start"), _span_at(F.col("w"), s, SPAN).alias("span")))
-        found.append(hits.select("id", "th", F.explode(spans).alias("s")).select("id", "th", F.lit(SPAN).alias("n"), "s.start", "s.span"))
+        known = _kept(_chunks(item_words).where(F.size("w") >= SPAN)).select("f").distinct()
+        chunks = _chunks(texts).where(F.size("w") >= SPAN)
+        kept = _kept(chunks)
+        if bounded:
+            near = kept.join(F.broadcast(known), "f", "left_semi")
+        else:  # the words stay behind: only keys and places are shuffled for the look-up
+            at = kept.drop("w").join(known, "f", "left_semi").groupBy("_i", "_th", "c").agg(F.collect_set("j").alias("js"))
+            near = chunks.join(at, ["_i", "_th", "c"]).select("_i", "_th", "c", "w", F.explode("js").alias("j"))
+        start = F.col("j") + 1 + F.col("c") * CHUNK
+        found.append(near.select("_i", "_th", F.lit(SPAN).alias("n"), start.alias("start"), _span_at(F.col("w"), F.col("j") + 1, SPAN).alias("span")))
     for n in sorted(k for k in sizes if k < SPAN):
         spans = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda s: _span_at(F.col("w"), s, n))
-        rows = _chunks(texts.where(F.size("w") >= n)).where(F.size("w") >= n).select("id", "th", "c", F.posexplode(spans).alias("p", "span"))
-        found.append(rows.select("id", "th", F.lit(n).alias("n"), (F.col("p") + 1 + F.col("c") * CHUNK).alias("start"), "span"))
-
-    out = base.select("id", "th", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
+        rows = _chunks(texts).where(F.size("w") >= n).select("_i", "_th", "c", F.posexplode(spans).alias("p", "span"))
+        found.append(rows.select("_i", "_th", F.lit(n).alias("n"), (F.col("p") + 1 + F.col("c") * CHUNK).alias("start"), "span"))
     if not found:
-        return out.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("items"))
+        return texts.select("_i", "_th", F.lit(0).cast("long").alias("n_hit"), F.array().cast(windows.schema["items"].dataType).alias("items")).where("false")
+
     rows = found[0]
     for more in found[1:]:
         rows = rows.union(more)
     rows = rows.join(small(windows), ["n", "span"])
-    per = rows.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n")).alias("at"), F.collect_set("items").alias("items"))
+    per = rows.groupBy("_i", "_th").agg(F.collect_set(F.struct("start", "n")).alias("at"), F.collect_set("items").alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["start"], a["start"] + a["n"] - 1))))
-    per = per.select(F.col("id").alias("hid"), F.col("th").alias("hth"), F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.flatten("items")).alias("items"))
-    out = out.join(per, out["id"].eqNullSafe(per["hid"]) & (out["th"] == per["hth"]), "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array()).alias("items"))
+    return per.select("_i", "_th", F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.flatten("items")).alias("items"))
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """One row per row of docs: id_col, n_words, n_hit (words inside any occurrence of a window), items (array of ids).
+
+    A null or wordless text has no words and no hits. An item with a null id or without words is no
+    item; rows that repeat an item's id add windows to it. Documents are told apart by id and text,
+    so repeated rows and null ids get the result of their text. Other columns are ignored.
+    """
+    n_words = F.coalesce(F.size(F.array_remove(F.split(F.col(text_col), ANY_BETWEEN), "")), F.lit(0)).cast("long")
+    out = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), n_words.alias("n_words"))
+    out = out.join(hits(docs, items, id_col, text_col, item_col, item_text, broadcast_rows), ["_i", "_th"], "left")
+    return out.select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array()).alias("items"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of an item."""
+    found = stored(hits(docs, items, id_col, text_col, item_col, item_text).select("_i", "_th"), "contaminated")
+    return keyed(docs, id_col, text_col).join(checked_broadcast(found), ["_i", "_th"], "left_anti").select("_row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
