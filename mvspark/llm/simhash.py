@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mvspark.llm.common import connected_components, stored
+from mvspark.llm.common import connected_components, keyed, row_key, stored
 
 BITS, WORDS, SEED, THRESHOLD = 64, 3, 42, 2
 #: Most fingerprints of one anchor that are compared with one another in one task.
@@ -210,6 +210,17 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.mapInPandas(_compare, "a long, b long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _i, _th, fp) of all documents, and (fp, root, component_id) of all fingerprints."""
+    base = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), fingerprint_udf(F.col(text_col)).alias("fp"))
+    base = stored(base, "fingerprints")
+    fps = base.groupBy("fp").agg(F.min("_id").alias("low"))
+    nodes = connected_components(links(fps.select("fp"))).select(F.col("node").alias("fp"), "root")
+    by_fp = fps.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lows = by_fp.groupBy("root").agg(F.min("low").alias("component_id"))
+    return base, by_fp.join(lows, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, fp (long), fingerprint (16 hex digits), component_id.
 
@@ -217,11 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest unless all are null, then it is null. Null and blank texts have fingerprint zero and
     link like any other; repeated rows are kept; other columns are ignored, whatever their names.
     """
-    base = stored(docs.select(F.col(id_col).alias("_id"), fingerprint_udf(F.col(text_col)).alias("fp")), "fingerprints")
-    fps = base.groupBy("fp").agg(F.min("_id").alias("low"))
-    nodes = connected_components(links(fps.select("fp"))).select(F.col("node").alias("fp"), "root")
-    by_fp = fps.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = by_fp.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = by_fp.join(lows, "root").select("fp", "component_id")
+    base, by_fp = _grouped(docs, id_col, text_col)
     out = base.join(by_fp, "fp")
     return out.select(F.col("_id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, one for each group: that of the smallest id (of equal ids, the smallest hash of the text)."""
+    base, by_fp = _grouped(docs, id_col, text_col)
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "_i")).alias("first")
+    kept = base.join(by_fp.select("fp", "root"), "fp").groupBy("root").agg(first).select("first._i", "first._th")
+    return keyed(docs, id_col, text_col).join(kept, ["_i", "_th"], "left_semi").dropDuplicates(["_i", "_th"]).select("_row.*")
