@@ -188,12 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return calibrated([flat[ends[k] : ends[k + 1]] for k in order], y[order])
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """One row per row of docs: id_col, held_out, score (0 to 1), predicted (1 from THRESHOLD); with keep, all columns of docs and _score.
-
-    A null or wordless text gets the score of the bias alone. Repeated rows and null ids (never held
-    out) stay; an empty table gives an empty result. Only the text is an input of a score.
-    """
+def _by_text(docs: DataFrame, machine: Machine):
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most TERMS terms
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -201,8 +196,19 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for texts in batches:
             yield pd.Series([one(t if isinstance(t, str) else None) for t in texts], dtype=float)
 
-    by_text = F.pandas_udf(run, "double")
-    if keep:
-        return docs.withColumn("_score", by_text(F.col(text_col)))
-    out = docs.select(F.col(id_col).alias("id"), by_text(F.col(text_col)).alias("score"))
+    return F.pandas_udf(run, "double")
+
+
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id_col, held_out, score (0 to 1), predicted (1 from THRESHOLD).
+
+    A null or wordless text gets the score of the bias alone. Repeated rows and null ids (never held
+    out) stay; an empty table gives an empty result. Only the text is an input of a score.
+    """
+    out = docs.select(F.col(id_col).alias("id"), _by_text(docs, machine)(F.col(text_col)).alias("score"))
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score less than THRESHOLD."""
+    return docs.where(_by_text(docs, machine)(F.col(text_col)) < THRESHOLD)

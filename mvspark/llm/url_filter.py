@@ -38,6 +38,7 @@ PATTERN_RULES = [
 
 #: Up to so many rule rows the index is broadcast; beyond it the join is shuffled.
 BROADCAST_RULES = 100_000
+ADDED = ("_host", "_path", "_rule", "_verdict", "_pattern")
 
 
 def prefix_rule(verdict: str, rule: str) -> tuple:
@@ -66,15 +67,17 @@ def _tokens(target: Column) -> Column:
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
-    """pages with _host, _path, _rule (the deciding prefix rule or null), _verdict and _pattern added.
+    """pages with _host, _path, _rule (the deciding prefix rule or null), _verdict and _pattern added; columns of these names are replaced.
 
     Null urls and urls without "://" have an empty host and path, which no prefix rule fits: allow.
     Rows are kept as they are, repeated ones and null ids too; an empty table gives an empty result.
     Equal host + path are decided once per task and once more per value, so a hot page costs no skew.
     """
     host, path = host_path(F.col(url_col))
-    pages = pages.withColumn("_host", host).withColumn("_path", path)
-    targets = pages.select(F.concat("_host", "_path").alias("target"))
+    kept = [c for c in pages.columns if c not in ADDED]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row")  # no name of pages can clash with one of the rules
+    pages = pages.select(row, host.alias("_host"), path.alias("_path")).withColumn("target", F.concat("_host", "_path"))
+    targets = pages.select("target")
     urls = targets.select("target", F.explode(_tokens(F.col("target"))).alias("token"))
 
     bounded = rules.count() <= broadcast_rules
@@ -87,11 +90,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", broadc
     fits = urls.join(small(index), "token").where(F.expr("target rlike regex"))
     rank = F.struct("is_prefix", F.when(F.col("is_prefix"), F.col("length")).otherwise(0).alias("longest"), (F.col("verdict") == "block").alias("blocks"), "rule", "verdict")
     best = fits.groupBy("target").agg(F.max(rank).alias("best"))
-    out = pages.withColumn("_target", F.concat("_host", "_path")).join(best.withColumnRenamed("target", "_target"), "_target", "left")
-    rule = F.col("best.rule")
-    return (
-        out.withColumn("_rule", F.when(F.col("best.is_prefix"), rule))
-        .withColumn("_pattern", F.when(~F.col("best.is_prefix"), rule))
-        .withColumn("_verdict", F.coalesce("best.verdict", F.lit("allow")))
-        .drop("best", "_target")
+    out, rule = pages.join(best, "target", "left"), F.col("best.rule")
+    return out.select(
+        "_row.*",
+        "_host",
+        "_path",
+        F.when(F.col("best.is_prefix"), rule).alias("_rule"),
+        F.coalesce("best.verdict", F.lit("allow")).alias("_verdict"),
+        F.when(~F.col("best.is_prefix"), rule).alias("_pattern"),
     )
