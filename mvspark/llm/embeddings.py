@@ -5,12 +5,14 @@ residual is stored as SUBSPACES one-byte codes. A query scores a list's vectors
 entries (asymmetric distances) and computes the exact cosine, in double precision, only where the
 estimate leaves the link possible.
 
-Sufficient probes: with unit vectors, a partner of x at cosine t or more lies in the cap of angle
-acos(t) around x. A list is probed unless no point of that cap is nearer to its centroid than to
-the centroid of x's own list. The estimate keeps every vector whose true distance can be in
-reach: the quantisation error of each vector is stored with its codes. So both steps lose
-nothing, whatever sample the centroids come from; they are fitted to at most SAMPLE vectors in
-the order of a hash.
+Sufficient probes: with unit vectors, a partner of x at cosine t is t x plus a step of length
+sqrt(1 - t^2) across. Which list it is in depends on how far that step goes from x's own centroid
+towards another one. A list is probed if a step with a share of SIGMAS / sqrt(dimensions) in that
+direction (so many standard deviations of a step of random direction), or any shorter one, gets
+there; from sqrt(dimensions) on, that is every list that can hold a partner. The estimate keeps
+every vector whose true distance can be in reach, as the quantisation error of each vector is
+stored with its codes. Centroids and codebooks are fitted to at most SAMPLE vectors in the order
+of a hash; every vector is indexed, and every vector is a query.
 
 Equal vectors of a label are one class and one row of the index. Lists are compared in blocks of
 at most BLOCK rows on either side, and a block returns, for each of its vectors, the number of
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from mvspark.llm.common import connected_components, stored
 
 THRESHOLD, SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, ROUNDS = 0.93, 20_000, 512, 8, 256, 1024, 6
+SIGMAS = 3.0
 #: A list for so many vectors of the largest label, up to LISTS.
 FILL = 128
 
@@ -72,16 +75,17 @@ class Index:
             error += ((part - book[codes[:, m]]) ** 2).sum(1)
         return at, codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, x: np.ndarray, threshold: float = THRESHOLD, sigmas: float = SIGMAS) -> tuple[np.ndarray, np.ndarray]:
         """All (row, list) pairs that can hold a partner: see the module's text."""
         at, _ = nearest(x, self.coarse)
         own = self.coarse[at]
         norms = (self.coarse**2).sum(1)
         between = np.sqrt(np.maximum(norms[at][:, None] + norms[None] - 2 * own @ self.coarse.T, 0))
         along = x @ self.coarse.T - (x * own).sum(1)[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            angle = np.arccos(np.clip(along / between, -1, 1))
-        reach = between * np.cos(np.maximum(angle - np.arccos(threshold), 0))
+        across = np.sqrt(np.maximum(between**2 - along**2, 0)) * min(1.0, sigmas / np.sqrt(x.shape[1]))
+        reach = np.maximum(threshold * along + np.sqrt(1 - threshold**2) * across, along)
+        length = np.sqrt(along**2 + across**2)
+        reach = np.where((along > 0) & (along >= threshold * length), length, reach)
         need = (norms[None] - norms[at][:, None]) / 2
         hit = (reach + 1e-9 >= need) | (np.arange(len(self.coarse))[None] == at[:, None])
         return np.nonzero(hit)
@@ -153,7 +157,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows reached is the component. A null id is no smallest id unless nothing else is reached.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"  # floats are widened where they are compared
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda e: F.coalesce((F.abs(e) < float("inf")) & ~F.isnan(e), F.lit(False))) & F.exists("v", lambda e: e != 0)
     valid = F.coalesce(finite & F.col("label").isNotNull(), F.lit(False))
     rows = rows.withColumn("h1", F.when(valid, F.xxhash64("label", "v"))).withColumn("h2", F.when(valid, F.xxhash64(F.lit("b"), "v", "label")))
@@ -185,7 +190,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def _links(classes: DataFrame, index, threshold: float, block: int) -> DataFrame:
     """Rows (node, n, root): links counted per node and block, and forest edges."""
-    kind = classes.schema["label"].dataType.simpleString()
+    kind, vector = (classes.schema[c].dataType.simpleString() for c in ("label", "v"))
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -201,8 +206,8 @@ def _links(classes: DataFrame, index, threshold: float, block: int) -> DataFrame
                 yield part.iloc[i].assign(list=lists.astype(np.int32))
 
     rows = classes.select("node", "label", "v", "size")
-    items = rows.mapInPandas(file, f"node long, label {kind}, v array<double>, size long, list int, codes binary, err double")
-    asks = rows.drop("size").mapInPandas(ask, f"node long, label {kind}, v array<double>, list int")
+    items = rows.mapInPandas(file, f"node long, label {kind}, v {vector}, size long, list int, codes binary, err double")
+    asks = rows.drop("size").mapInPandas(ask, f"node long, label {kind}, v {vector}, list int")
     cell = ["label", "list"]
     parts = lambda df, name: df.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = parts(items, "mi").join(parts(asks, "mq"), cell)
