@@ -1,6 +1,6 @@
 """Toxicity by a factorisation machine over hashed terms.
 
-Terms are the distinct lower-case words of a text and the stems (first STEM letters) of the
+Terms are the distinct lower-case words of a text and the stems (first letters, see STEMS) of
 longer ones, hashed to BUCKETS. The machine adds a weight for each term and, for each pair of
 terms, the product of their factors, so that a pair (an insult and the mention of a group) can
 count for more than its parts. It keeps only terms that enough training texts hold and whose
@@ -27,20 +27,21 @@ from pyspark.sql import functions as F
 
 from mvspark.llm.common import held_out, train_row
 
-SAMPLE, BUCKETS, STEM, FACTORS = 16_000, 1 << 20, 5, 8
+SAMPLE, BUCKETS, STEMS, FACTORS = 16_000, 1 << 20, (4, 5), 8
 #: Most terms kept, and in how many training texts a term must occur.
-TERMS, MIN_TEXTS = 4096, 5
-#: Least chi-squared of a term's presence against the label: about one term in a million reaches it by chance.
-CHI = 24.0
+TERMS, MIN_TEXTS = 4096, 3
+#: Least chi-squared of a term's presence against the label: about one term in a hundred thousand reaches it by chance.
+CHI = 20.0
+#: Pull of the calibration to the machine's own output, which counts where few rows are held back.
+PULL = 1.0
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.2, 1e-5, 7
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_terms(word: str) -> tuple[int, ...]:
-    """Buckets of one lower-case word: the word and, if it is longer, its stem."""
-    whole = zlib.crc32(word.encode()) % BUCKETS
-    return (whole,) if len(word) <= STEM else (whole, zlib.crc32(b"^" + word[:STEM].encode()) % BUCKETS)
+    """Buckets of one lower-case word: the word and its stems, where it is longer than they are."""
+    return (zlib.crc32(word.encode()) % BUCKETS, *(zlib.crc32(b"^" + word[:n].encode()) % BUCKETS for n in STEMS if len(word) > n))
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -106,10 +107,10 @@ def calibrated(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     z, y = np.clip(_outputs(machine, [r for r, k in zip(rows, rest) if k]), -30, 30), labels[rest].astype(float)
     y = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (rest.sum() - n1 + 2))
     theta, x = np.array([1.0, 0.0]), np.stack([z, np.ones_like(z)], axis=1)
-    for _ in range(50):  # Newton's method with a light pull to the identity
+    for _ in range(50):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -50, 50)))
-        g = x.T @ (p - y) + 0.01 * (theta - [1, 0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
+        g = x.T @ (p - y) + PULL * (theta - [1, 0])
+        h = (x * (p * (1 - p))[:, None]).T @ x + PULL * np.eye(2)
         theta = theta - np.linalg.solve(h, g)
     a, b = max(float(theta[0]), 1e-3), float(theta[1])
     return Machine(a * machine.bias + b, machine.kept, a * machine.weights, a**0.5 * machine.factors)
