@@ -20,15 +20,6 @@ from pyspark.sql import functions as F
 from mvspark.llm.token_store import BATCH, Encoder, tokenizer_path
 
 
-def token_sizes(tokenizer) -> np.ndarray:
-    """Bytes of each token id of a byte-level vocabulary, in which one character stands for one byte."""
-    vocab = tokenizer.get_vocab()
-    sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
-    for token, k in vocab.items():
-        sizes[k] = len(token)
-    return sizes
-
-
 def line_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each line of a text, its line break not included; an empty text is one empty line."""
     breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
@@ -59,7 +50,7 @@ def count_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        sizes = token_sizes(encoder.tokenizer)
+        sizes = encoder.sizes
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 ids, texts = batch.column(0).slice(a, BATCH), batch.column(1).slice(a, BATCH).to_pylist()

@@ -7,9 +7,10 @@ file is a Parquet file with one row:
     shard int         place of the shard in the order
     n long            number of ids
     doc_ids, lengths  the documents in order and how many ids each has
+    alphabet          the shard's distinct ids, ascending; an id's code is its place here
     zeros             per bit plane, the number of zero bits
-    planes            per bit plane, highest bit first, the bits of the ids in the order that
-                      stable partition by all higher bits gives (most significant bit first)
+    planes            per bit plane, highest bit first, the bits of the codes in the order that
+                      stable partition by all higher bits gives
     ranks             per bit plane, the ones before each block of BLOCK_BITS bits, 32-bit
 
 With the rank directory, access, counting and occurrence look-up (rank, select) take one step a
@@ -23,7 +24,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHARD_TOKENS, BLOCK_BITS, END = 1 << 21, 512, 2
-#: Most distinct pieces a task remembers, most characters of them, and how many texts it encodes at a time.
-MEMO, MEMO_CHARS, BATCH = 600_000, 1 << 24, 256
-#: Runs of ASCII white space, each with what follows up to the next one. Byte-level BPE splits
-#: before white space that follows something else, so that such pieces are encoded independently.
-_PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: Most distinct pieces a task remembers, the longest one it does, and how many texts it encodes at a time.
+MEMO, LONGEST, BATCH = 600_000, 48, 128
+_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+#: Pieces of a text at whose ends byte-level BPE's own pattern always splits: a word with the space
+#: before it, before white space or common marks; such marks before white space; a line break before
+#: a word; and all else up to the next ASCII white space.
+_PIECE = re.compile(rf" ?[{_LATIN}]+(?![^ ,.;:!?\n])|[,.;:!?]+(?![^ \n])|\n(?=[{_LATIN}])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_WORD = re.compile(rf" ?[{_LATIN}]+")
 #: White space beyond ASCII and separators that regular expressions disagree on: encoded whole.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 
@@ -46,62 +49,85 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece once.
+def token_sizes(tokenizer) -> np.ndarray:
+    """Bytes of each token id of a byte-level vocabulary, in which one character stands for one byte."""
+    vocab = tokenizer.get_vocab()
+    sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+    for token, k in vocab.items():
+        sizes[k] = len(token)
+    return sizes
 
-    The text of a special token counts as ordinary text.
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
+class Encoder(dict):
+    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece once: piece to ids as bytes.
+
+    The text of a special token counts as ordinary text. What is remembered is bounded.
     """
 
-    def __init__(self, path: str, memo: int = MEMO) -> None:
+    def __init__(self, path: str, most: int = MEMO) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own only cost memory
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.type = np.dtype("<u4" if self.wide else "<u2")
-        self.memo: dict[str, bytes] = {}
-        self.most, self.held = memo, 0
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.sizes = token_sizes(self.tokenizer)
+        self.type = np.dtype("<u4" if len(self.sizes) > 1 << 16 else "<u2")
+        self._model, self._letters = self.tokenizer.model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if _WORD.fullmatch(piece):  # the pattern leaves it whole: merges only
+            ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        found = np.array(ids, dtype=self.type).tobytes()
+        if len(piece) <= LONGEST:
+            self[piece] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [[t] if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        memo = self.memo
-        new = [w for w in set(chain.from_iterable(pieces)) if w not in memo]
-        chars = sum(map(len, new))
-        if len(memo) + len(new) > self.most or self.held + chars > MEMO_CHARS:
-            memo.clear()
-            new = list(set(chain.from_iterable(pieces)))
-            self.held, chars = 0, sum(map(len, new))
-        self.held += chars
-        memo.update(zip(new, self._ids(new)))
-        get = memo.__getitem__
+        if len(self) > self.most:
+            self.clear()
+        get = self.__getitem__
+        pieces = ([t] if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts)
         return [np.frombuffer(b"".join(map(get, p)), dtype=self.type) for p in pieces]
 
 
 class WaveletMatrix:
     """Access, rank and select over a sequence of ids stored as bit planes."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[bytes], ranks: list[bytes]) -> None:
+    def __init__(self, n: int, alphabet: list[int], zeros: list[int], planes: list[bytes], ranks: list[bytes]) -> None:
         self.n, self.zeros, self.planes = n, zeros, [np.frombuffer(p, dtype=np.uint8) for p in planes]
+        self.alphabet = np.array(alphabet, dtype=np.uint32)
         self.ranks = [np.frombuffer(r, dtype="<u4") for r in ranks]
 
     @staticmethod
-    def build(ids: np.ndarray, bits: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    def build(ids: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes], list[bytes]]:
+        """Alphabet, zeros, planes and ranks of a sequence of ids."""
+        seen = np.bincount(ids) > 0
+        alphabet = np.flatnonzero(seen)
+        codes = (np.cumsum(seen) - 1).astype(np.uint32 if len(alphabet) > 1 << 16 else np.uint16)[ids]
         zeros, planes, ranks = [], [], []
-        for k in range(bits - 1, -1, -1):
-            one = (ids >> ids.dtype.type(k) & ids.dtype.type(1)).astype(bool)
+        for k in range(max(1, int(len(alphabet) - 1).bit_length()) - 1, -1, -1):
+            one = (codes & codes.dtype.type(1 << k)) != 0
             plane = np.packbits(one, bitorder="little")
-            low, high = ids[~one], ids[one]
+            low, high = codes.compress(~one), codes.compress(one)
             zeros.append(len(low))
             planes.append(plane.tobytes())
             padded = np.zeros(-(-len(plane) // (BLOCK_BITS // 8)) * (BLOCK_BITS // 8), dtype=np.uint8)
             padded[: len(plane)] = plane
-            per = np.bitwise_count(padded.reshape(-1, BLOCK_BITS // 8)).sum(1, dtype=np.int64)
+            per = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(1, dtype=np.int64)
             ranks.append(np.concatenate([[0], np.cumsum(per)]).astype("<u4").tobytes())
-            ids = np.concatenate([low, high])
-        return zeros, planes, ranks
+            codes = np.concatenate([low, high])
+        return alphabet, zeros, planes, ranks
 
     def _ones(self, k: int, i: int) -> int:
         """Ones of plane k before position i."""
@@ -119,28 +145,38 @@ class WaveletMatrix:
             bit, ones = self._bit(k, i), self._ones(k, i)
             value = value << 1 | bit
             i = self.zeros[k] + ones if bit else i - ones
-        return value
+        return int(self.alphabet[value])
+
+    def _code(self, token: int) -> int | None:
+        k = int(np.searchsorted(self.alphabet, token))
+        return k if k < len(self.alphabet) and self.alphabet[k] == token else None
 
-    def _range(self, token: int, i: int) -> tuple[int, int]:
+    def _range(self, code: int, i: int) -> tuple[int, int]:
         start = 0
         for k in range(len(self.planes)):
             a, b = self._ones(k, start), self._ones(k, i)
-            start, i = (self.zeros[k] + a, self.zeros[k] + b) if token >> len(self.planes) - 1 - k & 1 else (start - a, i - b)
+            start, i = (self.zeros[k] + a, self.zeros[k] + b) if code >> len(self.planes) - 1 - k & 1 else (start - a, i - b)
         return start, i
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of the token before position i."""
-        start, end = self._range(token, i)
+        code = self._code(token)
+        if code is None:
+            return 0
+        start, end = self._range(code, i)
         return end - start
 
     def select(self, token: int, j: int) -> int:
         """Position of the token's occurrence number j, from 0; -1 if there are fewer."""
-        start, end = self._range(token, self.n)
+        code = self._code(token)
+        if code is None:
+            return -1
+        start, end = self._range(code, self.n)
         if not 0 <= j < end - start:
             return -1
         at = start + j
         for k in range(len(self.planes) - 1, -1, -1):
-            bit = token >> len(self.planes) - 1 - k & 1
+            bit = code >> len(self.planes) - 1 - k & 1
             want = at - self.zeros[k] if bit else at
             low, high = 0, self.n  # the smallest end before which want + 1 such bits stand
             while low < high:
@@ -152,18 +188,23 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order, from the lowest plane up."""
-        values = np.zeros(self.n, dtype=np.uint32 if len(self.planes) > 16 else np.uint16)
+        codes = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            back = np.empty_like(values)
-            back[~one] = values[: self.zeros[k]]
-            back[one] = values[self.zeros[k] :] | values.dtype.type(1 << len(self.planes) - 1 - k)
-            values = back
-        return values
+            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            back = np.empty_like(codes)
+            back[np.flatnonzero(~one)] = codes[: self.zeros[k]]
+            back[np.flatnonzero(one)] = codes[self.zeros[k] :] | codes.dtype.type(1 << len(self.planes) - 1 - k)
+            codes = back
+        return self.alphabet[codes]
+
+    @staticmethod
+    def of(row: dict) -> "WaveletMatrix":
+        """From one row of a shard's file."""
+        return WaveletMatrix(row["n"], row["alphabet"], row["zeros"], row["planes"], row["ranks"])
 
 
-SHARD_SCHEMA = "part int, seq int, n long, doc_ids array<long>, lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
+SHARD_SCHEMA = "part int, seq int, n long, doc_ids array<long>, lengths array<long>, alphabet array<int>, zeros array<long>, planes array<binary>, ranks array<binary>"
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("alphabet", pa.list_(pa.int32())), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
 
 
 def _encode_shards(path: str, end: int, shard_tokens: int):
@@ -176,8 +217,7 @@ def _encode_shards(path: str, end: int, shard_tokens: int):
 
         def shard() -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(ids), dtype=encoder.type)
-            bits = max(16, int(flat.max()).bit_length())
-            row = (part, seq, len(flat), docs, lengths, *WaveletMatrix.build(flat, bits))
+            row = (part, seq, len(flat), docs, lengths, *WaveletMatrix.build(flat))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW.types)], schema=_ARROW)
 
         for batch in batches:
@@ -218,13 +258,13 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = batch.slice(row, 1).to_pydict()
-                ids = WaveletMatrix(one["n"][0], one["zeros"][0], one["planes"][0], one["ranks"][0]).decode().astype("<u4")
-                lengths = np.array(one["lengths"][0], dtype=np.int64)
+                one = batch.slice(row, 1).to_pylist()[0]
+                ids = WaveletMatrix.of(one).decode().astype("<u4")
+                lengths = np.array(one["lengths"], dtype=np.int64)
                 at = np.cumsum(lengths) - lengths
                 crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(at.tolist(), lengths.tolist())]
                 fill = lambda x: pa.array(np.full(len(at), x, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([fill(one["part"][0]), fill(one["seq"][0]), pa.array(one["doc_ids"][0], pa.int64()), pa.array(at), pa.array(lengths), pa.array(crc, pa.int64())], ["part", "seq", "id", "at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([fill(one["part"]), fill(one["seq"]), pa.array(one["doc_ids"], pa.int64()), pa.array(at), pa.array(lengths), pa.array(crc, pa.int64())], ["part", "seq", "id", "at", "n_tokens", "ids_crc32"])
 
     found = shards.mapInArrow(run, "part int, seq int, id long, at long, n_tokens long, ids_crc32 long")
     out = found.join(starts.select("part", "seq", "base", "shard"), ["part", "seq"])
@@ -238,10 +278,10 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = batch.slice(row, 1).to_pydict()
-                ids = WaveletMatrix(one["n"][0], one["zeros"][0], one["planes"][0], one["ranks"][0]).decode().astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(one["lengths"][0])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(one["doc_ids"][0], pa.int64()), pa.ListArray.from_arrays(ends, ids)], ["id", "ids"])
+                one = batch.slice(row, 1).to_pylist()[0]
+                ids = WaveletMatrix.of(one).decode().astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(one["lengths"])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(one["doc_ids"], pa.int64()), pa.ListArray.from_arrays(ends, ids)], ["id", "ids"])
 
     return shards.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -253,9 +293,8 @@ def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = batch.slice(row, 1).to_pydict()
-                m = WaveletMatrix(one["n"][0], one["zeros"][0], one["planes"][0], one["ranks"][0])
-                fits = token.bit_length() <= len(m.planes)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((one["part"][0], pa.int32()), (one["seq"][0], pa.int32()), (m.rank(token, m.n) if fits else 0, pa.int64()), (m.select(token, 0) if fits else -1, pa.int64()))], ["part", "seq", "occurrences", "first"])
+                one = batch.slice(row, 1).to_pylist()[0]
+                m = WaveletMatrix.of(one)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((one["part"], pa.int32()), (one["seq"], pa.int32()), (m.rank(token, m.n), pa.int64()), (m.select(token, 0), pa.int64()))], ["part", "seq", "occurrences", "first"])
 
     return shards.drop("doc_ids", "lengths").mapInArrow(run, "part int, seq int, occurrences long, first long")
