@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 SHARD_TOKENS, BLOCK_BITS, END = 1 << 21, 512, 2
 #: Most distinct pieces a task remembers, the longest one it does, and how many texts it encodes at a time.
-MEMO, LONGEST, BATCH = 600_000, 48, 128
+MEMO, LONGEST, BATCH = 900_000, 48, 128
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: Pieces of a text at whose ends byte-level BPE's own pattern always splits: a word with the space
 #: before it, before white space or common marks; such marks before white space; a line break before
@@ -81,14 +82,19 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True
         self.sizes = token_sizes(self.tokenizer)
         self.type = np.dtype("<u4" if len(self.sizes) > 1 << 16 else "<u2")
-        self._model, self._letters = self.tokenizer.model, _byte_letters()
+        self._merge, self._letters = self.tokenizer.model.tokenize, _byte_letters()
+        self._space = chr(self._letters[32])
 
     def __missing__(self, piece: str) -> bytes:
         if _WORD.fullmatch(piece):  # the pattern leaves it whole: merges only
-            ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
+            if piece.isascii():  # of its characters only the space has another letter
+                letters = piece if piece[0] != " " else self._space + piece[1:]
+            else:
+                letters = piece.encode().decode("latin-1").translate(self._letters)
+            ids = [t.id for t in self._merge(letters)]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        found = np.array(ids, dtype=self.type).tobytes()
+        found = array(self.type.char, ids).tobytes()
         if len(piece) <= LONGEST:
             self[piece] = found
         return found
