@@ -28,8 +28,6 @@ DOCS, DICT_BYTES, PIECE, LEVEL = 800, 256 * 1024, 1024, 6
 #: Texts whose best and second size differ by less than this share are rejected.
 MARGIN = 0.01
 UNKNOWN = "und"
-#: Any letter; digits and the underscore are word characters too.
-_LETTER = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
 
 
@@ -68,7 +66,7 @@ def classifier(dictionaries: dict[str, bytes], level: int = LEVEL):
         coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def classify(text: str | None) -> tuple[str, float, float]:
-        if not text or not names or not _LETTER.search(text):
+        if not text or not names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
         data = folded(text)
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]

@@ -30,11 +30,14 @@ def attribute(ends: np.ndarray, starts: np.ndarray, start: np.ndarray, end: np.n
     """Section of each token. Tokens: starts, ends; sections: start, end; all ascending and without overlap."""
     first = np.searchsorted(end, starts, side="right")  # the first section that ends after the token's start
     last = np.searchsorted(start, ends, side="left") - 1  # the last one that starts before its end
-    out = np.clip(np.where(first > last, first - 1, first), 0, len(start) - 1)
+    near = np.clip(first, 0, len(start) - 1)
+    outside = np.minimum(end[near], ends) <= np.maximum(start[near], starts)
+    out = np.clip(np.where(outside, first - 1, near), 0, len(start) - 1)
     for t in np.flatnonzero(last > first).tolist():
         sections = np.arange(first[t], last[t] + 1)
         held = np.minimum(end[sections], ends[t]) - np.maximum(start[sections], starts[t])
-        out[t] = sections[int(np.argmax(held))]
+        if held.max() > 0:
+            out[t] = sections[int(np.argmax(held))]
     return out
 
 
