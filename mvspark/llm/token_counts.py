@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mvspark.llm.token_store import BATCH, Encoder, tokenizer_path
+from mvspark.llm.token_store import BATCH, encoder, tokenizer_path
 
 
 def line_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +52,13 @@ def count_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        sizes = encoder.sizes
+        bpe = encoder(path)
+        sizes = bpe.sizes
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 ids, texts = batch.column(0).slice(a, BATCH), batch.column(1).slice(a, BATCH).to_pylist()
                 row, section, starts, ends, counts = [], [], [], [], []
-                for k, (text, found) in enumerate(zip(texts, encoder.encode(texts))):
+                for k, (text, found) in enumerate(zip(texts, bpe.encode(texts))):
                     start, end = spans(text.encode())
                     stop = np.cumsum(sizes[found])
                     of = attribute(stop, stop - sizes[found], start, end)

@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,12 @@ class Encoder(dict):
         return [np.frombuffer(b"".join(map(get, p)), dtype=self.type) for p in pieces]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process: a worker keeps it, with what it remembers, from task to task."""
+    return Encoder(path)
+
+
 class WaveletMatrix:
     """Access, rank and select over a sequence of ids stored as bit planes."""
 
@@ -217,12 +224,12 @@ def _encode_shards(path: str, end: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
-        stop = np.array([end], dtype=encoder.type).tobytes()
+        bpe, part = encoder(path), TaskContext.get().partitionId()
+        stop = np.array([end], dtype=bpe.type).tobytes()
         ids, docs, lengths, held, seq = [], [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), dtype=encoder.type)
+            flat = np.frombuffer(b"".join(ids), dtype=bpe.type)
             row = (part, seq, len(flat), docs, lengths, *WaveletMatrix.build(flat))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW.types)], schema=_ARROW)
 
@@ -230,7 +237,7 @@ def _encode_shards(path: str, end: int, shard_tokens: int):
             keys = batch.column(0).to_pylist()
             for a in range(0, len(keys), BATCH):
                 texts = [t or "" for t in batch.column(1).slice(a, BATCH).to_pylist()]
-                for key, found in zip(keys[a : a + BATCH], encoder.encode(texts)):
+                for key, found in zip(keys[a : a + BATCH], bpe.encode(texts)):
                     ids += [found.tobytes(), stop]
                     docs.append(key)
                     lengths.append(len(found) + 1)
