@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch where texts go to Python: with Spark's own 10,000 a task would hold tens of MB of text several times over.
+TEXT_BATCH = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Makes Arrow batches smaller in this session, unless it has smaller ones already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
+        spark.conf.set(key, str(TEXT_BATCH))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mvspark.llm.common import held_out, train_row
+from mvspark.llm.common import held_out, text_batches, train_row
 
 DOCS, DICT_BYTES, PIECE, LEVEL = 800, 256 * 1024, 1024, 6
 #: Texts whose best and second size differ by less than this share are rejected.
@@ -87,6 +87,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     Null texts, texts without a letter and an empty set of dictionaries give "und" with score 0,
     rejected. Repeated rows and null ids (never held out) stay; only id and text are read.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most DICT_BYTES a language

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mvspark.llm.common import connected_components, keyed, row_key, stored
+from mvspark.llm.common import connected_components, keyed, row_key, stored, text_batches
 
 BITS, WORDS, SEED, THRESHOLD = 64, 3, 42, 2
 #: Most fingerprints of one anchor that are compared with one another in one task.
@@ -212,6 +212,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (_id, _i, _th, fp) of all documents, and (fp, root, component_id) of all fingerprints."""
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), fingerprint_udf(F.col(text_col)).alias("fp"))
     base = stored(base, "fingerprints")
     fps = base.groupBy("fp").agg(F.min("_id").alias("low"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mvspark.llm.common import text_batches
 from mvspark.llm.token_store import BATCH, encoder, tokenizer_path
 
 
@@ -48,6 +49,7 @@ def count_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own rows; an empty table gives none.
     """
     path = tokenizer or tokenizer_path()
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 

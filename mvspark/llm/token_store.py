@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mvspark.llm.common import text_batches
+
 SHARD_TOKENS, BLOCK_BITS, END = 1 << 21, 512, 2
 #: Most distinct pieces a task remembers, the longest one it does, and how many texts it encodes at a time.
-MEMO, LONGEST, BATCH = 900_000, 48, 128
+MEMO, LONGEST, BATCH = 500_000, 48, 128
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: Pieces of a text at whose ends byte-level BPE's own pattern always splits: a word with the space
 #: before it, before white space or common marks; such marks before white space; a line break before
@@ -256,6 +258,7 @@ def write_shards(docs: DataFrame, out_path: str, id_col: str = "doc_id", text_co
 
     Null texts count as empty: the end id alone. An empty table writes no shard.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     shards = rows.mapInArrow(_encode_shards(tokenizer or tokenizer_path(), end, shard_tokens), SHARD_SCHEMA)

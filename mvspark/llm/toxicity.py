@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mvspark.llm.common import held_out, train_row
+from mvspark.llm.common import held_out, text_batches, train_row
 
 SAMPLE, BUCKETS, STEMS, FACTORS = 16_000, 1 << 20, (4, 5), 8
 #: Most terms kept, and in how many training texts a term must occur.
@@ -170,6 +170,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
     """Fits a machine to at most `sample` labelled training rows (see common.train_row); of several labels of an id the highest counts."""
+    text_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train_row(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -190,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _by_text(docs: DataFrame, machine: Machine):
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most TERMS terms
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
