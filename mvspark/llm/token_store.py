@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from mvspark.llm.common import text_batches
 
 SHARD_TOKENS, BLOCK_BITS, END = 1 << 21, 512, 2
-#: Most distinct pieces a task remembers, the longest one it does, and how many texts it encodes at a time.
-MEMO, LONGEST, BATCH = 500_000, 48, 128
+#: Most distinct pieces a worker remembers, the longest ones it does (longer ones seldom come again), and how many texts it encodes at a time.
+MEMO, LONGEST, BATCH = 900_000, 12, 128
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: Pieces of a text at whose ends byte-level BPE's own pattern always splits: a word with the space
 #: before it, before white space or common marks; such marks before white space; a line break before
