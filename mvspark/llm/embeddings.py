@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from mvspark.llm.common import connected_components, stored
 
 THRESHOLD, SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, ROUNDS = 0.93, 20_000, 512, 8, 256, 1024, 6
-SIGMAS = 3.0
+SIGMAS = 2.5
 #: A list for so many vectors of the largest label, up to LISTS.
-FILL = 128
+FILL = 64
 
 
 def _centroids(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
