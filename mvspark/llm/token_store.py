@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from mvspark.llm.common import text_batches
 
 SHARD_TOKENS, BLOCK_BITS, END = 1 << 21, 512, 2
-#: Most distinct pieces a worker remembers, the longest ones it does (longer ones seldom come again), and how many texts it encodes at a time.
-MEMO, LONGEST, BATCH = 900_000, 12, 128
+#: Most distinct pieces a worker remembers, the longest ones it does (longer ones seldom come again), the
+#: longest ones that stay when it is full, and how many texts it encodes at a time.
+MEMO, LONGEST, SHORT, BATCH = 650_000, 12, 7, 128
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: Pieces of a text at whose ends byte-level BPE's own pattern always splits: a word with the space
 #: before it, before white space or common marks; such marks before white space; a line break before
@@ -104,7 +105,10 @@ class Encoder(dict):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self) > self.most:
+            short = {p: ids for p, ids in self.items() if len(p) <= SHORT}
             self.clear()
+            if len(short) <= self.most // 2:
+                self.update(short)
         get = self.__getitem__
         pieces = ([t] if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts)
         return [np.frombuffer(b"".join(map(get, p)), dtype=self.type) for p in pieces]
