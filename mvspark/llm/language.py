@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from mvspark.llm.common import held_out, text_batches, train_row
 
 DOCS, DICT_BYTES, PIECE, LEVEL = 800, 256 * 1024, 1024, 6
+#: Characters of one training document that a dictionary can use: the sample is DOCS * PART a language at most.
+PART = 16 * 1024
 #: Texts whose best and second size differ by less than this share are rejected.
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -44,7 +46,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not counts:
         return {}
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, DOCS / n)))))
-    part = F.substring("text", 1, DICT_BYTES)  # no dictionary holds more of one document
+    part = F.substring("text", 1, PART)
     picked = rows.where(F.col("u") < F.element_at(share, F.col("lang"))).select("lang", "u", "id", part.alias("text")).collect()
     out: dict[str, bytes] = {}
     for lang in sorted(counts):
