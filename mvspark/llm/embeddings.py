@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mvspark.llm.common import connected_components, stored
+from mvspark.llm.common import checked_broadcast, connected_components, stored
 
 THRESHOLD, SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, ROUNDS = 0.93, 20_000, 512, 8, 256, 1024, 6
 SIGMAS = 2.5
@@ -210,7 +210,8 @@ def _links(classes: DataFrame, index, threshold: float, block: int) -> DataFrame
     asks = rows.drop("size").mapInPandas(ask, f"node long, label {kind}, v {vector}, list int")
     cell = ["label", "list"]
     parts = lambda df, name: df.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = parts(items, "mi").join(parts(asks, "mq"), cell)
+    # a row for each list and label: broadcast if they are few, so that vectors are shuffled once only
+    sizes = checked_broadcast(stored(parts(items, "mi").join(parts(asks, "mq"), cell), "lists"))
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     own = lambda m: F.pmod(F.xxhash64("node"), F.col(m)).cast("int")
     items = items.join(sizes, cell).withColumn("bi", own("mi")).withColumn("bq", spread("mq")).withColumn("asks", F.lit(False))
