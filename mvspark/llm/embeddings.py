@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from mvspark.llm.common import checked_broadcast, connected_components, stored
 
-THRESHOLD, SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, ROUNDS = 0.93, 20_000, 512, 8, 256, 1024, 6
+THRESHOLD, SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, ROUNDS = 0.93, 20_000, 512, 8, 256, 512, 6
 SIGMAS = 2.5
 #: A list for so many vectors of the largest label, up to LISTS.
 FILL = 64
