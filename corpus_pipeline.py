@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mvspark.llm import decontaminate, mixing, simhash, token_store, toxicity
+from mvspark.llm import decontaminate, mixing, similar, token_store, toxicity
 from mvspark.llm.common import shared_dir, stored, table
 
 #: Most passes over a source in the mix, whose budget is the number of tokens that come in.
@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked fingerprints, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of texts that are 0.8 alike in five-word shingles, the one with the smallest id."""
+    return similar.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,241 @@
+"""Near-duplicate texts by an exact set-similarity join, for corpora that keep one text of each group.
+
+Sets: ASCII A-Z lower-cased, words split on ASCII white space, the distinct WORDS-word shingles as
+64-bit hashes (a text of fewer words is one shingle, a null or blank one has none). Two texts link
+if their sets are equal or their Jaccard similarity is ALIKE or more.
+
+Candidates: with any one order over all shingles, two sets of similarity t share one of the first
+n - ceil(t n) + 1 shingles of each (prefix filter), so only those are shuffled. The order is rare
+first: shingles that repeat in a sample come last, which changes the cost and never the result.
+Lengths and places in the order bound the similarity from above; nothing else removes a pair.
+
+Pairs are compared in two rounds. The first compares each text with the smallest of those that share
+the shingle; the second compares all pairs that are in different groups by then, so a large group costs
+rows in proportion to its size. Nothing is dropped or capped: a shingle with more than BLOCK
+texts is compared in pairs of blocks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mvspark.llm.common import checked_broadcast, connected_components, keyed, row_key, stored, text_batches
+
+WORDS, ALIKE, SEED = 5, 0.8, 42
+#: Most texts of one shingle that are compared with one another in one task.
+BLOCK = 2048
+#: So many texts tell which shingles are frequent: those in REPEATED of them or more.
+SAMPLE, REPEATED = 20_000, 3
+#: Most pairs that share one copy of a text's shingles when they are compared.
+SHARE = 256
+#: Parts of all shingles that are counted to exclude pairs before their shingles are compared.
+BUCKETS = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct shingle hashes of one text."""
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w, SEED) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], dtype=np.uint64)
+    if not len(h):
+        return h
+    m = max(1, len(h) - words + 1)
+    x = np.zeros(m, dtype=np.uint64)
+    for k in range(min(words, len(h))):
+        x = _mix(x * _STEP + h[k : k + m] + np.uint64(k + 1))
+    return np.unique(x)
+
+
+@F.pandas_udf(T.BinaryType())
+def shingles_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+
+
+def prefix_length(n: int, alike: float = ALIKE) -> int:
+    return n - int(np.ceil(alike * n - 1e-9)) + 1
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that repeat in a sample of the sets, and in how many texts of it."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                yield pd.DataFrame({"token": np.frombuffer(b"".join(pdf["set"].iloc[at : at + 64]), dtype=np.int64)})
+
+    every = -(-sets.count() // SAMPLE) or 1
+    part = sets.where(F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(every)) == 0).select("set")
+    rows = part.mapInPandas(spread, "token long").groupBy("token").count().where(F.col("count") >= REPEATED).toPandas()
+    token = rows["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], rows["count"].to_numpy(np.int64)[order]
+
+
+def _prefixes(sets: DataFrame, alike: float) -> DataFrame:
+    """Rows (token, node, n, pos): the first shingles of each set of n and their places."""
+    known = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        token, times = known.value
+        for pdf in batches:
+            out = []
+            for node, data in zip(pdf["node"].tolist(), pdf["set"]):
+                s = np.frombuffer(data, dtype=np.uint64)
+                if not len(s):
+                    continue
+                seen = np.zeros(len(s), dtype=np.int64)
+                if len(token):
+                    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+                    seen = np.where(token[at] == s, times[at], 0)
+                s = s[np.argsort(seen, kind="stable")[: prefix_length(len(seen), alike)]]
+                out.append((s, node, len(seen)))
+            if out:
+                size = [len(s) for s, _, _ in out]
+                yield pd.DataFrame({
+                    "token": np.concatenate([s for s, _, _ in out]).view(np.int64), "node": np.repeat([k for _, k, _ in out], size),
+                    "n": np.repeat([n for _, _, n in out], size), "pos": np.concatenate([np.arange(k) for k in size]),
+                })
+
+    return sets.select("node", "set").mapInPandas(first, "token long, node long, n int, pos int")
+
+
+def _possible(n, pos, m, at, alike: float):
+    """Whether sets of n and m elements, with a common one at these places, can be alike; for columns and arrays."""
+    least = np.minimum if isinstance(n, np.ndarray) else F.least
+    return (1 + least(n - pos, m - at) - 1 + 1e-6) * (1 + alike) >= alike * (n + m)
+
+
+def _across(alike: float):
+    """Pairs of different groups in batches sorted by (token, i, j); the last token of a batch waits for the next."""
+
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        keys = pdf[["token", "i", "j"]].to_numpy()
+        return np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, root, n, pos, i, j, block = (pdf[c].to_numpy() for c in ("node", "root", "n", "pos", "i", "j", "block"))
+        first = starts(pdf)
+        found = []
+        for a, b in zip(first.tolist(), np.append(first[1:], len(pdf)).tolist()):
+            if (root[a:b] == root[a]).all():
+                continue
+            left = np.arange(a, b)[block[a:b] == i[a]]
+            right = np.arange(a, b)[block[a:b] == j[a]]
+            for at in range(0, len(left), 256):
+                x, y = left[at : at + 256, None], right[None]
+                hit = (node[x] > node[y] if i[a] == j[a] else node[x] != node[y]) & (root[x] != root[y]) & _possible(n[x], pos[x], n[y], pos[y], alike)
+                p, q = np.nonzero(hit)
+                found.append(np.stack([node[left[at + p]], node[right[q]]], 1))
+        pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        return pd.DataFrame(np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0) if len(pairs) else pairs, columns=["a", "b"])
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for pdf in batches:
+            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = int(starts(pdf)[-1])
+            kept = pdf.iloc[last:]
+            if last:
+                yield run(pdf.iloc[:last])
+        if kept is not None and len(kept):
+            yield run(kept)
+
+    return across
+
+
+@F.pandas_udf(T.BinaryType())
+def _sketch(sets: pd.Series) -> pd.Series:
+    """How many shingles a set has in each of BUCKETS parts of all shingles."""
+    return pd.Series([np.bincount((np.frombuffer(s, dtype=np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32).tobytes() for s in sets], dtype=object)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """The pairs (a, b) whose sets are that similar. A text in more than SHARE pairs is compared in several tasks.
+
+    Two sets have in each bucket at most the smaller count in common, so sketches exclude most other pairs first.
+    """
+
+    def attach(pairs: DataFrame, rows: DataFrame, end: str, other: str, value) -> DataFrame:
+        degree = stored(pairs.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("m")), "degrees")
+        degree = checked_broadcast(degree)
+        copies = sets.join(degree, "node").select(F.col("node").alias(end), value.alias(f"set_{end}"), "m")
+        copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("m")
+        rows = rows.join(degree.withColumnRenamed("node", end), end).withColumn("copy", F.pmod(F.xxhash64(other), F.col("m")).cast("int")).drop("m")
+        return rows.join(copies, [end, "copy"]).drop("copy")
+
+    def both(pairs: DataFrame, value, common) -> DataFrame:
+        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                keep = np.zeros(len(pdf), dtype=bool)
+                for k, (left, right) in enumerate(zip(pdf["set_a"], pdf["set_b"])):
+                    same, total = common(left, right)
+                    keep[k] = same * (1 + alike) >= alike * total - 1e-9
+                yield pdf.loc[keep, ["a", "b"]]
+
+        rows = attach(pairs, attach(pairs, pairs, "a", "b", value), "b", "a", value)
+        return rows.select("a", "b", "set_a", "set_b").mapInPandas(check, "a long, b long")
+
+    def at_most(left: bytes, right: bytes) -> tuple[int, int]:
+        x, y = np.frombuffer(left, dtype=np.uint32), np.frombuffer(right, dtype=np.uint32)
+        return int(np.minimum(x, y).sum()), int(x.sum()) + int(y.sum())
+
+    def exactly(left: bytes, right: bytes) -> tuple[int, int]:
+        every = np.sort(np.frombuffer(left + right, dtype=np.uint64))
+        return int(np.count_nonzero(every[1:] == every[:-1])), len(every)
+
+    return both(stored(both(pairs, _sketch("set"), at_most), "possible"), F.col("set"), exactly)
+
+
+def links(sets: DataFrame, alike: float = ALIKE, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect the distinct sets (columns node, set) just as all pairs do that are alike."""
+    w = Window.partitionBy("token")
+    rows = _prefixes(sets, alike).withColumn("k", F.count("*").over(w)).withColumn("low", F.min(F.struct("node", "n", "pos")).over(w)).where("k > 1")
+    rows = stored(rows, "prefixes")
+    star = rows.where("node <> low.node").where(_possible(F.col("n"), F.col("pos"), F.col("low.n"), F.col("low.pos"), alike))
+    star = stored(star.select(F.col("node").alias("a"), F.col("low.node").alias("b")).distinct(), "candidates")
+    near = stored(_alike(star, sets, alike), "alike")
+    group = checked_broadcast(stored(connected_components(near), "groups"))
+    rows = rows.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    m = F.ceil(F.col("k") / block).cast("int")
+    rows = rows.select("token", "node", "root", "n", "pos", m.alias("m"), F.pmod(F.xxhash64("node"), m).cast("int").alias("block"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("token", "node", "root", "n", "pos", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    rest = stored(rows.mapInPandas(_across(alike), "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), "candidates")
+    return near.union(_alike(rest, sets, alike))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE) -> DataFrame:
+    """The rows of docs, with all their columns, one for each group of linked texts: that of the smallest id (of equal ids, the smallest hash of the text)."""
+    text_batches(docs.sparkSession)
+    base = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), shingles_udf(F.col(text_col)).alias("set"))
+    base = stored(base.withColumn("node", F.xxhash64("set")).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    first = base.groupBy("node").agg(F.min("row").alias("low"), F.count("*").alias("n")).where("n > 1")
+    again = stored(base.select("node", "row").join(first, "node").where("row <> low").select("row"), "repeats")
+    sets = base.select("node", "row", "set").join(checked_broadcast(again), "row", "left_anti").select("node", "set")
+    group = connected_components(links(sets, alike))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "_i")).alias("first")
+    kept = base.select("_id", "_i", "_th", "node").join(group, "node", "left").groupBy(F.coalesce("root", "node")).agg(first).select("first._i", "first._th")
+    keys = base.groupBy("_i", "_th").agg(F.count("*").alias("n"))
+    kept = kept.withColumn("kept", F.lit(True))
+    other = stored(keys.join(kept, ["_i", "_th"], "left").where("kept is null or n > 1").select("_i", "_th", F.col("kept").isNotNull().alias("kept")), "others")
+    # few rows go or repeat, so their keys are sent to the texts and not the texts to the keys
+    rows = keyed(docs, id_col, text_col)
+    once = rows.join(checked_broadcast(other.drop("kept")), ["_i", "_th"], "left_anti")
+    repeated = rows.join(checked_broadcast(other.where("kept").drop("kept")), ["_i", "_th"], "left_semi").dropDuplicates(["_i", "_th"])
+    return once.unionByName(repeated).select("_row.*")

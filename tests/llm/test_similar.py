@@ -1,0 +1,64 @@
+import numpy as np
+import pytest
+
+import corpus_pipeline as cp
+from mvspark.llm import similar
+from tests.llm.helpers import awkward, frame
+
+DATA = "/root/testdata/sf0.01"
+
+
+def plain(rows, t=0.8):
+    """Ids kept when all pairs of texts are compared."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or (min(len(x), len(y)) >= t * max(len(x), len(y)) and 10 * len(x & y) >= 10 * t * len(x | y) > 0):
+                root[find(i)] = find(j)
+    low = {}
+    for k, (doc, _) in enumerate(rows):
+        r = find(k)
+        low[r] = min(low.get(r, doc), doc)
+    return sorted(low.values())
+
+
+def test_stage_equals_brute_force_on_the_test_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r[0] for r in cp.drop_near_duplicates(spark, docs, DATA).select("doc_id").collect()) == plain(rows)
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_edited_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar.links, "__defaults__", (similar.ALIKE, block))
+    monkeypatch.setattr(similar, "SHARE", 2)
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(240):
+        if k < 20:
+            words = [f"w{e}" for e in rng.integers(0, 5000, rng.integers(3, 120))]
+        else:
+            words = rows[rng.integers(0, 20)][1].split()
+            for at in rng.integers(0, len(words), rng.integers(0, 4)):
+                words[at] = f"x{rng.integers(0, 9)}"
+            words = words[: len(words) - rng.integers(0, 3)]
+        rows.append((k, " ".join(words)))
+    rows.append((240, "a b c d"))
+    assert sorted(r[0] for r in cp.drop_near_duplicates(spark, frame(spark, rows), DATA).select("doc_id").collect()) == plain(rows)
+
+
+def test_awkward_rows(spark):
+    got = cp.drop_near_duplicates(spark, awkward(spark), DATA)
+    assert {r[0] for r in got.select("doc_id").collect()} == {1, 4, 5, None}
