@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from mvspark.llm.common import checked_broadcast, connected_components, stored
 
 THRESHOLD, SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, ROUNDS = 0.93, 20_000, 512, 8, 256, 512, 6
-SIGMAS = 2.5
+#: At the square root of the dimension or more no list that can hold a partner is left out, in either direction.
+SIGMAS = float("inf")
 #: A list for so many vectors of the largest label, up to LISTS.
 FILL = 64
 

@@ -81,3 +81,17 @@ def test_awkward_rows(spark):
     got = run(spark, [(None, v, 1), (None, v, 1)][:1])
     assert got == [(None, 0, None, True)]
     assert run(spark, []) == [] and run(spark, [(1, None, 1)]) == [(1, 0, 1, True)]
+
+
+def test_default_probes_are_complete_where_differences_lie_along_few_directions():
+    rng = np.random.default_rng(6)
+    x = np.ones((3000, 64)) + 0.01 * rng.normal(size=(3000, 64))
+    x[:, :2] += rng.normal(size=(3000, 2)) * 4
+    x = embeddings.unit(x)
+    index = embeddings.fit(x, 60, 4)
+    at, _, _ = index.encode(x)
+    i, lists = index.probes(x)
+    probed = np.zeros((len(x), len(index.coarse)), dtype=bool)
+    probed[i, lists] = True
+    a, b = np.nonzero(x @ x.T >= 0.93)
+    assert probed[a, at[b]].all()
