@@ -95,3 +95,15 @@ def test_default_probes_are_complete_where_differences_lie_along_few_directions(
     probed[i, lists] = True
     a, b = np.nonzero(x @ x.T >= 0.93)
     assert probed[a, at[b]].all()
+
+
+def test_links_across_lists_count_for_both_ends():
+    rng = np.random.default_rng(6)
+    x = embeddings.unit(np.ones((600, 64)) + 0.01 * rng.normal(size=(600, 64)) + np.eye(64)[:2].T.dot(rng.normal(size=(2, 600)) * 4).T)
+    index = embeddings.fit(x, 18, 4)
+    at, _, _ = index.encode(x)
+    i, lists = index.probes(x)
+    probed = np.zeros((len(x), len(index.coarse)), dtype=bool)
+    probed[i, lists] = True
+    a, b = np.nonzero(x @ x.T >= 0.93)
+    assert (at[a] != at[b]).any() and (probed[a, at[b]] == probed[b, at[a]]).all()
