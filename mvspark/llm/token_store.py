@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from mvspark.llm.common import text_batches
 
@@ -55,11 +57,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def token_sizes(tokenizer) -> np.ndarray:
-    """Bytes of each token id of a byte-level vocabulary, in which one character stands for one byte."""
+    """Bytes of each token id of a byte-level vocabulary, in which one character stands for one byte; added tokens are plain text."""
     vocab = tokenizer.get_vocab()
     sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
     for token, k in vocab.items():
         sizes[k] = len(token)
+    for k, token in tokenizer.get_added_tokens_decoder().items():
+        sizes[k] = len(token.content.encode())
     return sizes
 
 
@@ -73,7 +77,9 @@ def _byte_letters() -> dict[int, int]:
 class Encoder(dict):
     """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece once: piece to ids as bytes.
 
-    The text of a special token counts as ordinary text. What is remembered is bounded.
+    Ids are those of the library's encode(text, add_special_tokens=False): where a text holds the
+    text of an added token (like "<|endoftext|>"), that is one id and the text is cut there. What is
+    remembered is bounded.
     """
 
     def __init__(self, path: str, most: int = MEMO) -> None:
@@ -83,7 +89,11 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: False if an added token looks at the text around it: texts that hold one are encoded whole then
+        self._plain = not any(t.lstrip or t.rstrip or t.single_word for t in added)
+        texts = sorted((t.content for t in added), key=len, reverse=True)
+        self._added = re.compile("(" + "|".join(map(re.escape, texts)) + ")") if texts else None
         self.sizes = token_sizes(self.tokenizer)
         self.type = np.dtype("<u4" if len(self.sizes) > 1 << 16 else "<u2")
         self._merge, self._letters = self.tokenizer.model.tokenize, _byte_letters()
@@ -110,8 +120,19 @@ class Encoder(dict):
             if len(short) <= self.most // 2:
                 self.update(short)
         get = self.__getitem__
-        pieces = ([t] if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts)
-        return [np.frombuffer(b"".join(map(get, p)), dtype=self.type) for p in pieces]
+        return [np.frombuffer(b"".join(map(get, self._pieces(t))), dtype=self.type) for t in texts]
+
+    def _pieces(self, text: str) -> list[str]:
+        if self._added and self._added.search(text):
+            if not self._plain:
+                return [text]
+            # the library encodes what stands between added tokens as texts of their own
+            return [p for k, part in enumerate(self._added.split(text)) if part for p in ([part] if k % 2 else self._cut(part))]
+        return self._cut(text)
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        return [text] if _OTHER_SPACE.search(text) else _PIECE.findall(text)
 
 
 @lru_cache(maxsize=1)
@@ -222,11 +243,18 @@ class WaveletMatrix:
         return WaveletMatrix(row["n"], row["alphabet"], row["zeros"], row["planes"], row["ranks"])
 
 
-SHARD_SCHEMA = "part int, seq int, n long, doc_ids array<long>, lengths array<long>, alphabet array<int>, zeros array<long>, planes array<binary>, ranks array<binary>"
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("alphabet", pa.list_(pa.int32())), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
+def shard_schema(id_type: T.DataType) -> T.StructType:
+    """Columns of a shard's file for ids of a type."""
+    return T.StructType.fromDDL(
+        f"part int, seq int, n long, doc_ids array<{id_type.simpleString()}>, lengths array<long>, alphabet array<int>, zeros array<long>, planes array<binary>, ranks array<binary>"
+    )
+
 
+def _id_type(shards: DataFrame) -> T.DataType:
+    return shards.schema["doc_ids"].dataType.elementType
 
-def _encode_shards(path: str, end: int, shard_tokens: int):
+
+def _encode_shards(path: str, end: int, shard_tokens: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -237,7 +265,7 @@ def _encode_shards(path: str, end: int, shard_tokens: int):
         def shard() -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(ids), dtype=bpe.type)
             row = (part, seq, len(flat), docs, lengths, *WaveletMatrix.build(flat))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW.types)], schema=_ARROW)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -260,18 +288,26 @@ def _encode_shards(path: str, end: int, shard_tokens: int):
 def write_shards(docs: DataFrame, out_path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes docs and writes shards in ascending order of id (null ids first, equal ids by text); one file a shard.
 
-    Null texts count as empty: the end id alone. An empty table writes no shard.
+    Ids may be of any type that Spark can sort. Null texts count as empty: the end id alone. Repeated
+    rows are written as often as they come; a text of any length is one document of one shard. An
+    empty table writes no shard. Other columns are ignored.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    shards = rows.mapInArrow(_encode_shards(tokenizer or tokenizer_path(), end, shard_tokens), SHARD_SCHEMA)
+    schema = shard_schema(rows.schema["id"].dataType)
+    shards = rows.mapInArrow(_encode_shards(tokenizer or tokenizer_path(), end, shard_tokens, to_arrow_schema(schema)), schema)
     shards.write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(out_path)
 
 
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Rows (id_col, start, n_tokens, ids_crc32, shard) from the shards' files: one for each document."""
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    """Rows (id_col, start, n_tokens, ids_crc32, shard) from the shards' files: one for each document.
+
+    Null ids and repeated rows come back as they were written; an empty store gives no rows.
+    """
+    shards = spark.read.parquet(path)
+    id_type = _id_type(shards)
+    id_arrow = to_arrow_type(id_type)
     w = Window.orderBy("part", "seq")  # one row of three numbers for each shard
     starts = shards.select("part", "seq", "n").withColumn("base", F.sum("n").over(w) - F.col("n")).withColumn("shard", F.row_number().over(w) - 1)
 
@@ -284,16 +320,18 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
                 at = np.cumsum(lengths) - lengths
                 crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(at.tolist(), lengths.tolist())]
                 fill = lambda x: pa.array(np.full(len(at), x, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([fill(one["part"]), fill(one["seq"]), pa.array(one["doc_ids"], pa.int64()), pa.array(at), pa.array(lengths), pa.array(crc, pa.int64())], ["part", "seq", "id", "at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([fill(one["part"]), fill(one["seq"]), pa.array(one["doc_ids"], id_arrow), pa.array(at), pa.array(lengths), pa.array(crc, pa.int64())], ["part", "seq", "id", "at", "n_tokens", "ids_crc32"])
 
-    found = shards.mapInArrow(run, "part int, seq int, id long, at long, n_tokens long, ids_crc32 long")
+    found = shards.mapInArrow(run, f"part int, seq int, id {id_type.simpleString()}, at long, n_tokens long, ids_crc32 long")
     out = found.join(starts.select("part", "seq", "base", "shard"), ["part", "seq"])
     return out.select(F.col("id").alias(id_col), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Rows (id_col, ids): the ids of each document, end id included."""
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    """Rows (id_col, ids): the ids of each document, end id included; an empty text has that alone, an empty store no rows."""
+    shards = spark.read.parquet(path)
+    id_type = _id_type(shards)
+    id_arrow = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,14 +339,14 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
                 one = batch.slice(row, 1).to_pylist()[0]
                 ids = WaveletMatrix.of(one).decode().astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum(one["lengths"])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(one["doc_ids"], pa.int64()), pa.ListArray.from_arrays(ends, ids)], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(one["doc_ids"], id_arrow), pa.ListArray.from_arrays(ends, ids)], ["id", "ids"])
 
-    return shards.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return shards.mapInArrow(run, f"id {id_type.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
-    """Rows (shard part, seq, occurrences, first) of one token id, by rank and select on each shard's file."""
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    """Rows (shard part, seq, occurrences, first) of one token id, by rank and select on each shard's file; first is -1 where it doesn't occur."""
+    shards = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
