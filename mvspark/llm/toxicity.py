@@ -3,14 +3,17 @@
 Terms are the distinct lower-case words of a text and the stems (first letters, see STEMS) of
 longer ones, hashed to BUCKETS. The machine adds a weight for each term and, for each pair of
 terms, the product of their factors, so that a pair (an insult and the mention of a group) can
-count for more than its parts. It keeps only terms that enough training texts hold and whose
-presence tells the labels apart.
+count for more than its parts, and a word that says nothing alone can take another one back.
+
+Every term that MIN_TEXTS texts of the sample hold takes part; labels choose none of them. Weights
+and factors of either sign are learnt by gradient steps that shrink them (SHRINK), so that those
+of terms that tell nothing, alone or in a pair, end at zero and are left out of the machine.
 
 A fifth of the sample is kept from the fit and calibrates the scores: a logistic curve over the
 machine's output (Platt), so that a score is the chance of the label.
 
-Training uses a bounded sample: at most SAMPLE labelled rows, in the order of a hash of the id,
-of which only hashed terms reach the driver. Scoring reads every whole text.
+Training uses a bounded sample: at most SAMPLE labelled texts, in the order of a hash of id and
+text, of which only hashed terms reach the driver. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -25,16 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mvspark.llm.common import held_out, text_batches, train_row
+from mvspark.llm.common import held_out, stored, text_batches, train_row
 
-SAMPLE, BUCKETS, STEMS, FACTORS = 16_000, 1 << 20, (4, 5), 8
-#: Most terms kept, and in how many training texts a term must occur.
-TERMS, MIN_TEXTS = 4096, 3
-#: Least chi-squared of a term's presence against the label: about one term in a hundred thousand reaches it by chance.
-CHI = 20.0
+SAMPLE, BUCKETS, STEMS, FACTORS = 16_000, 1 << 18, (4, 5), 4
+#: In how many training texts a term must occur.
+MIN_TEXTS = 3
 #: Pull of the calibration to the machine's own output, which counts where few rows are held back.
-PULL = 1.0
-EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.2, 1e-5, 7
+PULL = 0.1
+#: Passes over the sample; after the first WARM of them terms at zero leave.
+EPOCHS, WARM, BATCH, SEED = 20, 3, 256, 7
+#: Step of the bias, the weights and of the factors, shrinking of either, decay of both, spread of the factors at the start.
+BIAS_RATE, RATE, FACTOR_RATE, SHRINK, FACTOR_SHRINK, DECAY, SPREAD = 1.0, 0.1, 0.015, 0.02, 0.4, 1e-4, 0.02
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -116,83 +120,113 @@ def calibrated(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     return Machine(a * machine.bias + b, machine.kept, a * machine.weights, a**0.5 * machine.factors)
 
 
+def _batches(docs_terms: tuple[np.ndarray, np.ndarray], order: np.ndarray, alive: np.ndarray) -> list[tuple]:
+    """The sample in batches: documents, terms by document, the document of each, their order by term, and the distinct terms."""
+    at, start = docs_terms
+    out = []
+    for a in range(0, len(order), BATCH):
+        docs = order[a : a + BATCH]
+        term = np.concatenate([at[start[d] : start[d + 1]] for d in docs])
+        local = np.repeat(np.arange(len(docs), dtype=np.int32), start[docs + 1] - start[docs])
+        use = alive[term]
+        term, local = term[use], local[use]
+        by_term = np.argsort(term, kind="stable").astype(np.int32)
+        ordered = term[by_term]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+        out.append((docs, term, local, by_term, first, ordered[first]))
+    return out
+
+
+def _summed(values: np.ndarray, local: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by document; local is ascending."""
+    out = np.zeros((n, *values.shape[1:]))
+    if len(local):
+        first = np.flatnonzero(np.append(True, local[1:] != local[:-1]))
+        out[local[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """A machine from term buckets of each text and its label 0 or 1; without both labels it scores 0 throughout."""
+    """A machine from term buckets of each text and its label 0 or 1; without both labels it scores 0 or 1 throughout."""
     labels = np.asarray(labels, dtype=float)
     if not len(rows) or labels.min() == labels.max():
         only = -9.0 if not len(rows) or labels.max() == 0 else 9.0
         return Machine(only, np.zeros(0, dtype=np.int32), np.zeros(0), np.zeros((0, FACTORS)))
-    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
-    of = np.repeat(np.arange(len(rows)), size)
-    count = np.bincount(flat, minlength=BUCKETS)
-    hit = np.bincount(flat, weights=labels[of], minlength=BUCKETS)
     n, n1 = len(rows), labels.sum()
-    expected = count * n1 / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (hit - expected) ** 2 / (expected * (1 - count / n) * (1 - n1 / n) + 1e-9)
-    chi[(count < MIN_TEXTS) | (hit < expected)] = 0  # what speaks against the label is left to the bias
-    kept = np.argsort(-chi, kind="stable")[:TERMS]
-    kept = np.sort(kept[chi[kept] > CHI])
-    slot = np.full(BUCKETS, -1)
+    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
+    kept = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= MIN_TEXTS)
+    slot = np.full(BUCKETS, -1, dtype=np.int32)
     slot[kept] = np.arange(len(kept))
-    use = slot[flat] >= 0
-    of, at = of[use], slot[flat][use]
-    start = np.searchsorted(of, np.arange(n + 1))
+    use, of = slot[flat] >= 0, np.repeat(np.arange(n), size)
+    known = slot[flat[use]], np.searchsorted(of[use], np.arange(n + 1))
 
     rng = np.random.default_rng(SEED)
-    w, v, bias = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)), np.log(n1 / (n - n1))
-    gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
+    w, v = np.zeros(len(kept), dtype=np.float32), rng.normal(0, SPREAD, (len(kept), FACTORS)).astype(np.float32)
+    bias, gw, gv, gb = np.log(n1 / (n - n1)), np.full_like(w, 1e-4), np.full_like(v, 1e-4), 1e-6
     balance = np.where(labels == 1, (n - n1) / n1, 1.0) ** 0.5
-    for _ in range(EPOCHS):
-        order = rng.permutation(n)
-        for a in range(0, n, BATCH):
-            docs = order[a : a + BATCH]
-            lengths = start[docs + 1] - start[docs]
-            pos = np.concatenate([np.arange(start[d], start[d + 1]) for d in docs]) if lengths.sum() else np.zeros(0, dtype=int)
-            local, term = np.repeat(np.arange(len(docs)), lengths), at[pos]
-            sums = np.zeros((len(docs), FACTORS))
-            np.add.at(sums, local, v[term])
-            squares = np.bincount(local, weights=(v[term] ** 2).sum(1), minlength=len(docs))
-            z = bias + np.bincount(local, weights=w[term], minlength=len(docs)) + 0.5 * ((sums**2).sum(1) - squares)
+    order = rng.permutation(n)
+    batches = _batches(known, order, np.ones(len(kept), dtype=bool))
+    for epoch in range(EPOCHS):
+        if epoch == WARM:
+            batches = _batches(known, order, (w != 0) | (v != 0).any(1))
+        for k in rng.permutation(len(batches)):
+            docs, term, local, by_term, first, some = batches[k]
+            vt = v[term]
+            sums = _summed(vt, local, len(docs))
+            z = bias + _summed(w[term], local, len(docs)) + 0.5 * ((sums**2).sum(1) - _summed((vt**2).sum(1), local, len(docs)))
             g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[docs]) * balance[docs] / len(docs)
-            dw = np.bincount(term, weights=g[local], minlength=len(w)) + DECAY * w
-            dv = np.zeros_like(v)
-            np.add.at(dv, term, g[local, None] * (sums[local] - v[term]))
-            dv += DECAY * v
-            gw += dw**2
-            gv += dv**2
             gb += g.sum() ** 2
-            w -= RATE * dw / np.sqrt(gw)
-            v -= 0.2 * RATE * dv / np.sqrt(gv)
-            bias -= RATE * g.sum() / np.sqrt(gb)
-    return Machine(float(bias), kept.astype(np.int32), w, v)
+            bias -= BIAS_RATE * g.sum() / np.sqrt(gb)
+            if not len(some):
+                continue
+            gl = g.astype(np.float32)[local]
+            dw = np.add.reduceat(gl[by_term], first) + DECAY / len(batches) * w[some]
+            dv = np.add.reduceat((gl[:, None] * (sums.astype(np.float32)[local] - vt))[by_term], first, axis=0) + DECAY / len(batches) * v[some]
+            gw[some] += dw**2
+            gv[some] += dv**2
+            step = RATE / np.sqrt(gw[some])
+            moved = w[some] - step * dw
+            w[some] = np.sign(moved) * np.maximum(np.abs(moved) - step * SHRINK / len(batches), 0)
+            moved = v[some] - FACTOR_RATE / np.sqrt(gv[some]) * dv
+            short = FACTOR_RATE / np.sqrt(gv[some].mean(1)) * FACTOR_SHRINK / len(batches)
+            v[some] = moved * np.maximum(1 - short / np.maximum(np.sqrt((moved**2).sum(1)), 1e-12), 0)[:, None]
+    counts = (w != 0) | (v != 0).any(1)
+    return Machine(float(bias), kept[counts].astype(np.int32), w[counts].astype(float), v[counts].astype(float))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """Fits a machine to at most `sample` labelled training rows (see common.train_row); of several labels of an id the highest counts."""
+    """Fits a machine to at most `sample` labelled training texts (see common.train_row).
+
+    Of several labels of an id the highest counts; null ids and null labels are none. Rows that repeat
+    an id and its text count once; null texts are empty ones. Without labelled rows, or with one label
+    only, the machine gives every text the same score.
+    """
     text_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train_row(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
-    picked = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # sample rows of two numbers
+    near = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # two looks at the texts: the first brings keys only, so that an id with any number of rows stays bounded
+    keys = rows.select("id", F.xxhash64("text").alias("th")).join(F.broadcast(near), "id").distinct()
+    picked = stored(keys.orderBy(F.xxhash64("id", "th"), "id", "th").limit(sample), "labelled")
+    rows = rows.withColumn("th", F.xxhash64("text")).join(F.broadcast(picked), ["id", "th"])  # sample rows of three numbers
+    rows = rows.groupBy("id", "th", "y").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "t": [terms(t if isinstance(t, str) else None) for t in pdf["text"]]})
+            yield pd.DataFrame({"h": pdf["h"], "y": pdf["y"], "t": [terms(t) for t in pdf["text"]]})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInPandas(run, f"id {kind}, y int, t array<int>").toArrow()
+    got = rows.select(F.xxhash64("id", "th").alias("h"), "y", "text").mapInPandas(run, "h long, y int, t array<int>").toArrow()
     values = got["t"].combine_chunks()
     flat, ends = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy())]).astype(int)
-    ids, y = got["id"].to_numpy(), got["y"].to_numpy()
-    order = np.lexsort((np.diff(ends), ids))
-    order = order[np.argsort([zlib.crc32(str(i).encode()) for i in ids[order]], kind="stable")]
-    return calibrated([flat[ends[k] : ends[k + 1]] for k in order], y[order])
+    y = got["y"].to_numpy()
+    order = np.argsort(got["h"].to_numpy(), kind="stable")
+    return calibrated([np.sort(flat[ends[k] : ends[k + 1]]) for k in order], y[order])
 
 
 def _by_text(docs: DataFrame, machine: Machine):
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most BUCKETS terms, of which few are not at zero
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = shared.value.scorer()
@@ -213,5 +247,9 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score less than THRESHOLD."""
+    """The rows of docs, with all their columns, that score less than THRESHOLD.
+
+    Null and wordless texts score the bias alone; repeated rows and null ids stay or go with their
+    text; an empty table gives an empty one.
+    """
     return docs.where(_by_text(docs, machine)(F.col(text_col)) < THRESHOLD)
