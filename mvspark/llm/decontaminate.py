@@ -1,10 +1,11 @@
 """Benchmark decontamination by winnowing.
 
 Words: A-Z lower-cased, runs of digits, a-z and non-ASCII characters. Of the hashes of all K-word
-grams the smallest in every WINDOW consecutive ones is kept, for documents and benchmark items
-alike; a shared span of K + WINDOW - 1 = SPAN words therefore shares a kept hash, whatever
-stands around it. Where a document keeps a hash that the benchmark keeps too, the SPAN words of
-its window are compared with the items' windows word by word; windows that overlap extend a hit
+grams the smallest in every WINDOW consecutive ones is kept (of equal ones the first), once for all
+the windows that it is the smallest of: about two of seven grams. Documents and benchmark items are
+treated alike, so a shared span of K + WINDOW - 1 = SPAN words shares a kept hash, whatever stands
+around it. Kept grams are joined; where a document's gram is one that the benchmark keeps too, the
+hit is extended: the windows of SPAN words around the gram are compared with the items' windows
 word by word. An item of fewer than SPAN words is one window of its own length; for the few
 lengths that occur, all grams of that length are compared. DataFrame operations only.
 
@@ -14,7 +15,7 @@ its text and no window is lost.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mvspark.llm.common import ascii_lower, checked_broadcast, keyed, row_key, stored
@@ -25,8 +26,8 @@ CHUNK = 4096
 #: What stands between words, in lower-cased texts and in texts that still have A-Z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Up to so many fingerprints or windows of the benchmark are broadcast; beyond it the joins are shuffled.
-BROADCAST_ROWS = 500_000
+#: Windows of the benchmark are broadcast up to so many bytes of text and row overhead; beyond it the joins are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -34,14 +35,23 @@ def words(text: Column) -> Column:
 
 
 def _kept(chunks: DataFrame) -> DataFrame:
-    """Rows (..., w, j, f): for each place j (from 0) in the words w, the smallest of the WINDOW gram hashes from there on.
+    """Rows (..., w, p, f): place (from 0) and hash of each gram in the words w that is the first smallest of a window of WINDOW.
 
     Words are hashed once; grams and minima are plain expressions over array elements, which Spark compiles.
+    A window hands on a new gram if its smallest hash is another one than that of the window before,
+    or if that one's gram has just left.
     """
     rows = chunks.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - SPAN)).alias("j"))
-    grams = [F.xxhash64(*(F.get("wh", F.col("j") + (a + b)) for b in range(K))) for a in range(WINDOW)]
-    return rows.withColumn("f", F.least(*grams)).drop("wh")
+    gone, *grams = [F.xxhash64(*(F.get("wh", F.col("j") + (a + b)) for b in range(K))) for a in range(-1, WINDOW)]
+    least, before = F.least(*grams), F.least(gone, *grams[:-1])
+    place = F.lit(WINDOW - 1)
+    for a in range(WINDOW - 2, -1, -1):
+        place = F.when(grams[a] == least, a).otherwise(place)
+    new = (F.col("j") == 0) | (least != before) | (gone == before)
+    # as an array, so that the conditions are not computed a second time in a filter below
+    rows = rows.withColumn("new", F.when(new, F.array(F.struct((F.col("j") + place).alias("p"), least.alias("f"))))).drop("wh", "j")
+    return rows.select(*(c for c in rows.columns if c != "new"), F.inline("new"))
 
 
 def _span_at(w: Column, start: Column, n) -> Column:
@@ -58,20 +68,22 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (n, span, items): each window of the benchmark and the ids of the items that hold it."""
+    """Rows (n, span, item): the windows of the benchmark, each once an item that holds it."""
     w = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(SPAN))
     spans = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: _span_at(F.col("w"), i, n))
-    rows = w.select("item", n.alias("n"), F.explode(spans).alias("span"))
-    return rows.groupBy("n", "span").agg(F.collect_set("item").alias("items"))
+    return w.select("item", n.alias("n"), F.explode(spans).alias("span")).distinct().select("n", "span", "item")
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows (_i, _th, n_hit, items) of the documents that hold a window; see common.row_key for the first two."""
+def hits(docs: DataFrame, items: DataFrame, windows: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows (_i, _th, n, start, span): where documents hold a window (see item_windows), each place once; see common.row_key for the first two.
+
+    Null texts and texts without words hold none; rows that repeat an id and its text count once.
+    """
     texts = docs.where(F.col(text_col).isNotNull()).select(*row_key(F.col(id_col), F.col(text_col)), words(F.col(text_col)).alias("w"))
-    windows = item_windows(items, item_col, item_text)
-    sizes = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most SPAN rows
-    bounded = sum(sizes.values()) <= broadcast_rows
+    windows = windows.select("n", "span").distinct()
+    sizes = {r["n"]: r["b"] for r in windows.groupBy("n").agg(F.sum(F.octet_length("span") + 64).alias("b")).collect()}  # at most SPAN rows
+    bounded = sum(sizes.values()) <= broadcast_bytes
     small = F.broadcast if bounded else (lambda df: df)
 
     found = []
@@ -83,28 +95,26 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
         if bounded:
             near = kept.join(F.broadcast(known), "f", "left_semi")
         else:  # the words stay behind: only keys and places are shuffled for the look-up
-            at = kept.drop("w").join(known, "f", "left_semi").groupBy("_i", "_th", "c").agg(F.collect_set("j").alias("js"))
-            near = chunks.join(at, ["_i", "_th", "c"]).select("_i", "_th", "c", "w", F.explode("js").alias("j"))
-        start = F.col("j") + 1 + F.col("c") * CHUNK
-        found.append(near.select("_i", "_th", F.lit(SPAN).alias("n"), start.alias("start"), _span_at(F.col("w"), F.col("j") + 1, SPAN).alias("span")))
+            at = kept.drop("w").join(known, "f", "left_semi").groupBy("_i", "_th", "c").agg(F.collect_set("p").alias("ps"))
+            near = chunks.join(at, ["_i", "_th", "c"]).select("_i", "_th", "c", "w", F.explode("ps").alias("p"))
+        first, last = F.greatest(F.col("p") - (SPAN - K), F.lit(0)), F.least(F.col("p"), F.size("w") - SPAN)
+        near = near.select("_i", "_th", "c", "w", F.explode(F.sequence(first, last)).alias("s"))
+        found.append(near.select("_i", "_th", F.lit(SPAN).alias("n"), (F.col("s") + 1 + F.col("c") * CHUNK).alias("start"), _span_at(F.col("w"), F.col("s") + 1, SPAN).alias("span")))
     for n in sorted(k for k in sizes if k < SPAN):
         spans = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda s: _span_at(F.col("w"), s, n))
         rows = _chunks(texts).where(F.size("w") >= n).select("_i", "_th", "c", F.posexplode(spans).alias("p", "span"))
         found.append(rows.select("_i", "_th", F.lit(n).alias("n"), (F.col("p") + 1 + F.col("c") * CHUNK).alias("start"), "span"))
     if not found:
-        return texts.select("_i", "_th", F.lit(0).cast("long").alias("n_hit"), F.array().cast(windows.schema["items"].dataType).alias("items")).where("false")
+        return texts.select("_i", "_th", F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit("").alias("span")).where("false")
 
     rows = found[0]
     for more in found[1:]:
         rows = rows.union(more)
-    rows = rows.join(small(windows), ["n", "span"])
-    per = rows.groupBy("_i", "_th").agg(F.collect_set(F.struct("start", "n")).alias("at"), F.collect_set("items").alias("items"))
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["start"], a["start"] + a["n"] - 1))))
-    return per.select("_i", "_th", F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.flatten("items")).alias("items"))
+    return rows.join(small(windows), ["n", "span"], "left_semi").select("_i", "_th", "n", "start", "span").distinct()
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_hit (words inside any occurrence of a window), items (array of ids).
 
@@ -112,15 +122,28 @@ def decontaminate(
     item; rows that repeat an item's id add windows to it. Documents are told apart by id and text,
     so repeated rows and null ids get the result of their text. Other columns are ignored.
     """
+    windows = stored(item_windows(items, item_col, item_text), "windows")
+    found = stored(hits(docs, items, windows, id_col, text_col, item_col, item_text, broadcast_bytes), "hits")
+    w = Window.partitionBy("_i", "_th").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("n")
+    new = F.greatest(end - F.greatest("start", F.coalesce(F.max(end).over(w), F.col("start"))), F.lit(0))
+    covered = found.select("_i", "_th", new.alias("new")).groupBy("_i", "_th").agg(F.sum("new").cast("long").alias("n_hit"))
+    pairs = found.select("_i", "_th", "n", "span").distinct().join(windows, ["n", "span"]).select("_i", "_th", "item").distinct()
+    pairs = pairs.groupBy("_i", "_th").agg(F.collect_list("item").alias("items"))  # what a row of the result holds
     n_words = F.coalesce(F.size(F.array_remove(F.split(F.col(text_col), ANY_BETWEEN), "")), F.lit(0)).cast("long")
     out = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), n_words.alias("n_words"))
-    out = out.join(hits(docs, items, id_col, text_col, item_col, item_text, broadcast_rows), ["_i", "_th"], "left")
+    out = out.join(covered.join(pairs, ["_i", "_th"]), ["_i", "_th"], "left")
     return out.select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array()).alias("items"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of an item."""
-    found = stored(hits(docs, items, id_col, text_col, item_col, item_text).select("_i", "_th"), "contaminated")
+    """The rows of docs, with all their columns, that hold no window of an item.
+
+    Null and wordless texts stay, as do repeated rows and null ids without a hit; without items all
+    rows stay; an empty table gives an empty one.
+    """
+    windows = stored(item_windows(items, item_col, item_text), "windows")
+    found = stored(hits(docs, items, windows, id_col, text_col, item_col, item_text).select("_i", "_th").distinct(), "contaminated")
     return keyed(docs, id_col, text_col).join(checked_broadcast(found), ["_i", "_th"], "left_anti").select("_row.*")
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 from mvspark.llm import decontaminate
+from pyspark.sql import functions as F
 from tests.llm.helpers import awkward, frame
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -62,7 +63,34 @@ def test_equals_brute_force(spark):
 def test_shuffled_look_up_and_short_chunks_give_the_same(spark, monkeypatch):
     docs, items = case(5)
     monkeypatch.setattr(decontaminate, "CHUNK", 16)
-    assert run(spark, docs, items, broadcast_rows=0) == sorted(plain(docs, items))
+    assert run(spark, docs, items, broadcast_bytes=0) == sorted(plain(docs, items))
+
+
+def test_grams_are_thinned_and_every_window_keeps_its_first_smallest(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "c"]) if k % 2 else f"w{rng.randrange(500)}" for _ in range(rng.choice([10, 11, 25, 600]))) for k in range(12)]
+    chunks = frame(spark, list(enumerate(texts))).select("doc_id", decontaminate.words(F.col("text")).alias("w"))
+    got = {}
+    for r in decontaminate._kept(chunks).collect():
+        got.setdefault(r["doc_id"], []).append((r["p"], r["f"]))
+    k, window = decontaminate.K, decontaminate.WINDOW
+    hashes = chunks.select("doc_id", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
+    grams = hashes.select("doc_id", F.transform(F.sequence(F.lit(0), F.size("wh") - k), lambda j: F.xxhash64(*(F.get("wh", j + b) for b in range(k)))).alias("g"))
+    total = kept = 0
+    for r in grams.collect():
+        g = r["g"]
+        want = {(p := min(range(j, j + window), key=lambda i: (g[i], i)), g[p]) for j in range(len(g) - window + 1)}
+        assert sorted(got[r["doc_id"]]) == sorted(want)  # each once
+        if len(g) > 500 and r["doc_id"] % 2 == 0:
+            total, kept = total + len(g), kept + len(want)
+    assert kept < 0.35 * total
+
+
+def test_a_stock_phrase_in_every_item(spark):
+    phrase = "this one phrase of ten words stands in every item"
+    items = [(k, f"{phrase} number{k}") for k in range(30)]
+    docs = [(1, f"so {phrase} then"), (2, f"{phrase} number7 {phrase}"), (3, "nothing of it")]
+    assert run(spark, docs, items) == sorted(plain(docs, items))
 
 
 def test_awkward_rows(spark):
