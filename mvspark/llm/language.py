@@ -6,8 +6,10 @@ the dictionary, not the text's own beginning, is what helps; the language with t
 in all wins. The whole text counts. The margin to the second smallest is the confidence, and
 narrow margins are marked as rejected.
 
-The dictionaries are made from a bounded sample: at most DOCS documents a language, in the order
-of a hash of the id, up to DICT_BYTES bytes. That is all that is sent to the tasks.
+The dictionaries are made from a bounded sample of labelled rows: at most DOCS texts a language, in
+the order of a hash of id and text. Their whole texts are cut in pieces of PIECE bytes; a dictionary
+takes first one piece of each text, then a second one, and so on, each drawn by hash from the whole
+text, up to DICT_BYTES bytes. That is all that is sent to the tasks.
 """
 
 from __future__ import annotations
@@ -18,15 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mvspark.llm.common import held_out, text_batches, train_row
+from mvspark.llm.common import held_out, stored, text_batches, train_row
 
 DOCS, DICT_BYTES, PIECE, LEVEL = 800, 256 * 1024, 1024, 6
-#: Characters of one training document that a dictionary can use: the sample is DOCS * PART a language at most.
-PART = 16 * 1024
 #: Texts whose best and second size differ by less than this share are rejected.
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -37,23 +38,59 @@ def folded(text: str) -> bytes:
     return _REST.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
+def pieces(text: str) -> list[tuple[float, bytes]]:
+    """Pieces of a whole folded text in the order of a hash, with their turn: 0 and a fraction for the first, 1 and ... for the second."""
+    data = folded(text).strip(b" ")
+    cut = sorted((xxhash.xxh64_intdigest(p, k), p) for k, p in enumerate(data[i : i + PIECE] for i in range(0, len(data), PIECE)))
+    return [(turn + h / 2**64, p) for turn, (h, p) in enumerate(cut)]
+
+
+def _best(found: dict[str, list[tuple[float, bytes]]]) -> dict[str, list[tuple[float, bytes]]]:
+    """Of each language the pieces whose turn comes first, up to DICT_BYTES."""
+    out = {}
+    for lang, some in found.items():
+        some.sort()
+        size = np.cumsum([len(p) + 1 for _, p in some])
+        out[lang] = some[: int(np.searchsorted(size, DICT_BYTES)) + 1]
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries by language from at most DOCS training rows each (see common.train_row)."""
+    """Raw-content dictionaries by language from at most DOCS training texts each (see common.train_row).
+
+    Rows without a language, a text or an id don't count; rows that repeat id, text and language count
+    once; texts without a letter give nothing. Without any row there are no dictionaries.
+    """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(train_row(F.col("id")) & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
-    rows = rows.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30))
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    u = F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(1 << 30)) / (1 << 30)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return {}
+    # of few more keys than DOCS a language, which a hash below that share leaves, the first DOCS
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, DOCS / n)))))
-    part = F.substring("text", 1, PART)
-    picked = rows.where(F.col("u") < F.element_at(share, F.col("lang"))).select("lang", "u", "id", part.alias("text")).collect()
-    out: dict[str, bytes] = {}
-    for lang in sorted(counts):
-        texts = [folded(r["text"]) for r in sorted((r for r in picked if r["lang"] == lang), key=lambda r: (r["u"], r["id"]))]
-        # the share of one document is bounded, so that many different ones get in
-        most = max(1024, DICT_BYTES // max(1, min(len(texts), 64)))
-        data = b"\n".join(t[:most] for t in texts)[:DICT_BYTES]
+    keys = rows.select("lang", "h", u.alias("u")).where(F.col("u") <= F.element_at(share, F.col("lang"))).distinct()
+    w = Window.partitionBy("lang").orderBy("u", "h")
+    keys = stored(keys.withColumn("r", F.row_number().over(w)).where(F.col("r") <= DOCS).select("lang", "h"), "sampled")
+    picked = rows.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, list[tuple[float, bytes]]] = {}
+        for pdf in batches:
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                found.setdefault(lang, []).extend(pieces(text))
+            found = _best(found)  # what a task holds and returns is DICT_BYTES a language
+        out = [(lang, turn, p) for lang, some in found.items() for turn, p in some]
+        yield pd.DataFrame(out, columns=["lang", "turn", "piece"])
+
+    found: dict[str, list[tuple[float, bytes]]] = {}
+    for r in picked.mapInPandas(cut, "lang string, turn double, piece binary").toLocalIterator():
+        found.setdefault(r["lang"], []).append((r["turn"], bytes(r["piece"])))
+    out = {}
+    for lang, some in sorted(_best(found).items()):
+        data = b"\n".join(p for _, p in reversed(some))[-DICT_BYTES:]  # zstandard prefers what stands last
         out[lang] = data if len(data) >= 8 else data + b" " * 8
     return out
 
