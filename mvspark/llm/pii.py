@@ -3,23 +3,28 @@
 Base rules find e-mail addresses, IP addresses, payment cards and telephone numbers, leftmost
 and without overlap per kind; their spans always stay. Wider generators propose further
 spans, which may overlap those and one another: runs of digits with separators, telephone and card
-numbers by their usual groups, and addresses with "(at)" and "dot" written out. Gradient-boosted trees score every proposed span from its format and its
-context; their labels are the base rules' verdicts, which the features do not repeat (neither a
-leading plus sign, nor the "@"). The lowest score at which the held-out spans keep the wanted
-precision, in all above it and in those at that score, is the threshold of a kind; what lies above
-it and overlaps no base span is added.
-
-All features have few values, so the whole corpus is condensed to a table of feature values and
-counts, whose size the features bound (see FEATURES); the trees are fitted to that table and
-applied as SQL expressions. Everything else is DataFrame operations: no text leaves its task.
+numbers by their usual groups, and addresses with "(at)" and "dot" written out. Gradient-boosted
+trees score every proposed span from its format and its context.
+
+What the trees learn from is a labelled seed table, built by rule (see seeds): formats of telephone
+numbers, cards, written-out addresses and of other numbers (dates, order numbers, amounts), each in
+contexts that speak for or against it. A proposal is a positive example if it is just the span that a
+positive seed holds; parts of it, and all proposals of negative seeds, are negative ones. So the base
+rules' verdicts label nothing. One half of the seeds fits the trees, the other calibrates: the lowest
+score at which its spans keep the wanted precision, in all above it and in those at that score, is the
+threshold of a kind; a proposal of the corpus above it that overlaps no base span is added.
+
+The trees are applied as SQL expressions. Everything is DataFrame operations: no text leaves its task.
 """
 
 from __future__ import annotations
 
 import math
+import random
+import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mvspark.llm.common import stored
@@ -37,15 +42,68 @@ BASE = {
 WIDE = {
     "number": r"[0-9](?:[ ().-]{0,2}[0-9]){6,}+",
     "grouped": r"\+?(?<![0-9])[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "area": r"\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
     "block": r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4,7}(?![0-9])",
     "address": rf"(?i)(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++ ?(?:@|\(at\)|\[at\]|\bat\b) ?[A-Z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[A-Z0-9-]++)++",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
-#: Feature and how many values it has: the table the trees are fitted to has at most their product of rows, 34,560.
-FEATURES = {"f_kind": 4, "f_digits": 5, "f_groups": 4, "f_style": 4, "f_before": 3, "f_after": 3, "f_word": 2, "f_tail": 3, "f_luhn": 2}
-PRECISION, LEAST, ROUNDS, RATE = 0.98, 0.9, 24, 0.4
+#: Words before a span that speak for a person's number or address, or for another number.
+PERSONAL_WORDS = r"tel|phone|telephone|telefon|call|fax|mobile|cell|text|whatsapp|ring|reach|number is|e-?mail|mail|write|contact|card|visa|mastercard|amex|credit|pay"
+OTHER_WORDS = r"order|invoice|isbn|issn|version|ticket|part|serial|id|page|article|lot|doi|ref|code|sku|model|total of|between|no"
+FEATURES = ("f_kind", "f_digits", "f_groups", "f_style", "f_before", "f_after", "f_word", "f_tail", "f_luhn", "f_lead")
+PRECISION, LEAST, ROUNDS, RATE = 0.98, 0.9, 40, 0.6
+
+
+#: Formats of the seeds; "#" is any digit. Telephone numbers that need no context, and those that do.
+CLEAR_PHONES = ("###-###-####", "(###) ###-####", "1-###-###-####", "+## ## #######", "+# (###) ###-####", "+# ### ### ####", "+##.##.#######")
+VAGUE_PHONES = ("### ### ####", "###.###.####", "0## #######", "0### ######", "0### ### ####", "00## ## ########", "0##-#######")
+CARDS = ("#### #### #### ####", "####-####-####-####", "################", "#### ###### #####", "###############")
+ADDRESSES = ("jane.doe (at) example (dot) org", "j.smith [at] mail [dot] example [dot] com", "info (at) shop.example.net", "maria at example dot org", "team @ example.com", "user_7 [at] host-1.example.org")
+OTHERS = ("####-##-##", "##.##.####", "####-####", "#######", "########", "##########", "# ### ###", "### ### ###", "#.########", "###-#-##-######-#", "#### #### ####", "############", "##.##.## ####")
+NO_ADDRESSES = ("look at this dot here", "met at ten dot sharp", "sat at home dot dot", "stay at inn dot so", "was at point dot three")
+PERSONAL = ("call {}", "phone: {}", "tel. {}", "Fax {} please", "mobile {} or mail", "my number is {}.", "contact: {}", "reach us at {} today", "ring {} after six", "text me on {}")
+PAYING = ("card {}", "my visa {} is lost", "pay with {}", "credit card: {}.")
+WRITING = ("write to {}", "mail: {}", "contact {} now", "{}", "ask {} about it")
+PLAIN = ("{}", "ours is {} now", "see {} and so on", "then {} came")
+OTHER = ("order {}", "invoice no. {}", "isbn {}", "version {}", "ticket {} was closed", "part {} in stock", "serial {}", "id: {}", "page {}", "a total of {}", "lot {}", "ref {}")
+#: Seeds a format and context.
+REPEATS = 2
+
+
+def _valid(digits: str) -> bool:
+    return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def seeds() -> list[tuple[int, str, int, int, int]]:
+    """Rows (id, text, start, end, label): every format in every context that it has a label in."""
+    rng, out = random.Random(1), []
+
+    def filled(form: str, valid: bool | None) -> str:
+        while True:
+            text = re.sub("#", lambda _: str(rng.randrange(10)), form)
+            if valid is None or _valid(re.sub("[^0-9]", "", text)) == valid:
+                return text
+
+    def add(forms: tuple, contexts: tuple, label: int, valid: bool | None = None) -> None:
+        for form in forms:
+            for context in contexts:
+                for _ in range(REPEATS):
+                    span, start = filled(form, valid), context.index("{}")
+                    out.append((len(out), context.format(span), start, start + len(span), label))
+
+    add(CLEAR_PHONES, PERSONAL + PLAIN, 1)
+    add(CLEAR_PHONES[:3], OTHER, 0)
+    add(VAGUE_PHONES, PERSONAL, 1)
+    add(VAGUE_PHONES, PLAIN + OTHER, 0)
+    add(CARDS, PAYING + PLAIN + PERSONAL, 1, True)
+    add(CARDS, OTHER, 0, True)
+    add(CARDS, PAYING + PLAIN + OTHER, 0, False)
+    add(ADDRESSES, WRITING, 1)
+    add(OTHERS, PLAIN + OTHER, 0)
+    add(NO_ADDRESSES, PLAIN + ("we {}", "they {}"), 0)
+    return out
 
 
 def _digits(c: Column) -> Column:
@@ -84,7 +142,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     at, plus, digit = F.contains(text, F.lit("@")), F.contains(text, F.lit("+")), text.rlike("[0-9]")
     spelt = at | text.rlike(r"(?i)[(\[]at[)\]]|\bat [a-z0-9-]+ dot\b")
     parts = [_hits(text, k, BASE[k], w) for k, w in (("email", at), ("ip", digit), ("card", digit), ("phone", plus))]
-    parts += [_hits(text, k, WIDE[k], digit) for k in ("number", "grouped", "block")] + [_hits(text, "address", WIDE["address"], spelt)]
+    parts += [_hits(text, k, WIDE[k], digit) for k in ("number", "grouped", "area", "block")] + [_hits(text, "address", WIDE["address"], spelt)]
     rows = docs.where(at | plus | digit | spelt).select("id", "th", F.inline(F.concat(*parts))).distinct()
     w = Window.partitionBy("id", "th", "by").orderBy("i")
     length = F.char_length("hit").cast("long")
@@ -103,24 +161,22 @@ def _described(rows: DataFrame) -> DataFrame:
     base = F.when(by == "email", True).when(by == "ip", hit.rlike(IP)).when(by == "card", is_card).when(by == "phone", n.between(8, 15)).otherwise(False)
     rows = rows.withColumn("kind", kind).withColumn("is_base", base).withColumn("n", n)
     # no card or telephone number has more digits: a longer run is no proposal, its parts may be
-    rows = rows.where(F.col("is_base") | (F.col("n") <= 19) | (F.col("kind") == "email"))
-    # a wide span that a base rule finds too, whole or but for a sign, is a positive example
-    seen = Window.partitionBy("id", "th", "end", "kind")
-    rows = rows.withColumn("label", F.max(F.col("is_base").cast("int")).over(seen))
+    rows = rows.where(F.col("is_base") | (~by.isin(*KINDS) & ((F.col("n") <= 19) | (F.col("kind") == "email"))))
     groups = F.size(F.split(hit, "[^0-9A-Za-z]+"))
-    style = F.when(hit.rlike("[()]"), 3).when(hit.rlike(r"\."), 2).when(hit.rlike("[ -]"), 1).otherwise(0)
+    style = F.when(hit.rlike("[()\\[]"), 3).when(hit.rlike(r"\."), 2).when(hit.rlike("-"), 1).when(hit.rlike(" "), 4).otherwise(0)
     edge = lambda c, p: F.when(c == "", 0).when(c.rlike(p), 2).otherwise(1)
-    word = F.col("before").rlike(r"(?i)\b(?:tel|phone|call|fax|mobile|e-?mail|mail|contact|card|visa|credit|account|ip|host|server|address)\b")
+    near = lambda words: F.col("before").rlike(rf"(?i)\b(?:{words})\b\W{{0,3}}(?:[a-z]+\W{{1,2}}){{0,2}}$")
     return (
         rows.withColumn("f_kind", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1)
-        .withColumn("f_digits", F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 16, 3).otherwise(4))
-        .withColumn("f_groups", F.when(groups <= 1, 0).when(groups <= 3, 1).when(groups == 4, 2).otherwise(3))
+        .withColumn("f_digits", F.when(n < 9, 0).when(n < 10, 1).when(n < 13, 2).when(n < 16, 3).otherwise(4))
+        .withColumn("f_groups", F.when(groups <= 1, 0).when(groups == 2, 1).when(groups == 3, 2).when(groups == 4, 3).otherwise(4))
         .withColumn("f_style", style)
-        .withColumn("f_before", edge(F.col("before"), r"[0-9A-Za-z._/=#-]$"))
+        .withColumn("f_before", edge(F.col("before"), r"[0-9A-Za-z._/=#(+-]$"))
         .withColumn("f_after", edge(F.col("after"), r"^[0-9A-Za-z_/=#-]"))
         .withColumn("f_luhn", F.when(n.between(13, 19), luhn(_digits(hit))).otherwise(False).cast("int"))
-        .withColumn("f_word", word.cast("int"))
-        .withColumn("f_tail", F.when(hit.rlike(r"(?i)(?:\.|dot[)\]]? ?)[a-z]{2,6}$"), 2).when(hit.rlike("[0-9]{4}$"), 1).otherwise(0))
+        .withColumn("f_word", F.when(near(OTHER_WORDS), 0).when(near(PERSONAL_WORDS), 2).otherwise(1))
+        .withColumn("f_tail", F.when(hit.rlike(r"(?i)(?:\.|dot[)\]]? ?)(?:[a-z]{2}|com|org|net|edu|info)$"), 2).when(hit.rlike("[0-9]{4}$"), 1).otherwise(0))
+        .withColumn("f_lead", F.when(hit.startswith("+"), 2).when(hit.startswith("0") | hit.startswith("("), 1).otherwise(0))
     )
 
 
@@ -184,40 +240,58 @@ def thresholds(score: np.ndarray, kind: np.ndarray, total: np.ndarray, positive:
     return out
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
-    """One row per row of docs: id_col, base and spans, arrays of (k, start, end) sorted; k is the kind's place in KINDS.
-
-    Null texts count as empty and have no spans. Documents are told apart by id and text, so repeated
-    rows and null ids get the spans of their text; an empty table gives an empty result; other columns
-    are ignored. start and end are code points, end exclusive.
-    """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    names = list(FEATURES)
-    rows = stored(_described(candidates(base)).select("id", "th", "kind", "is_base", "label", "start", "end", *names), "pii")
-    half = (F.pmod(F.xxhash64("id", "th"), F.lit(2)) == 0).alias("fits")
-    table = rows.groupBy(half, *names).agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()  # at most two rows for each value of the features
-    x = np.array([[r[f] for f in names] for r in table], dtype=np.int64).reshape(-1, len(names))
-    n, p, fits = (np.array([r[c] for r in table], dtype=t) for c, t in (("n", float), ("p", float), ("fits", bool)))
-    start, trees = fit(x[fits], n[fits], p[fits]) if fits.any() else (-9.0, [])
-    levels = thresholds(predict(start, trees, x[~fits]), x[~fits, 0], n[~fits], p[~fits], precision)
-    rows = rows.withColumn("score", scored(start, trees, names))
+def trained(spark: SparkSession, precision: float = PRECISION) -> tuple[float, list[tuple], list[float]]:
+    """Trees and thresholds from the seeds: (start, trees, level per kind)."""
+    table = spark.createDataFrame(seeds(), "id long, text string, s long, e long, y int")
+    rows = _described(candidates(table.select("id", F.lit(0).cast("long").alias("th"), "text"))).where(~F.col("by").isin(*KINDS))
+    rows = rows.join(F.broadcast(table.drop("text")), "id").select("id", *FEATURES, (F.col("y") * ((F.col("s") == F.col("start")) & (F.col("e") == F.col("end"))).cast("int")).alias("label"))
+    got = rows.orderBy("id", *FEATURES).collect()  # a few rows for each seed
+    x = np.array([[r[f] for f in FEATURES] for r in got], dtype=np.int64).reshape(-1, len(FEATURES))
+    y, fits = np.array([r["label"] for r in got], dtype=float), np.array([r["id"] % REPEATS != 0 for r in got])
+    one = np.ones(len(y))
+    start, trees = fit(x[fits], one[fits], y[fits])
+    return start, trees, thresholds(predict(start, trees, x[~fits]), x[~fits, 0], one[~fits], y[~fits], precision)
+
+
+def _spans(base: DataFrame, precision: float) -> DataFrame:
+    """Rows (hid, hth, base, spans) of the texts (id, th, text) that have spans."""
+    start, trees, levels = trained(base.sparkSession, precision)
+    rows = stored(_described(candidates(base)).select("id", "th", "kind", "is_base", "start", "end", *FEATURES), "pii")
+    rows = rows.withColumn("score", scored(start, trees, list(FEATURES)))
     level = F.element_at(F.array(*map(F.lit, levels)), F.col("f_kind") + 1)
     rows = rows.where(F.col("is_base") | (F.col("score") >= level)).withColumn("k", F.col("f_kind"))
     rows = rows.groupBy("id", "th", "k", "start", "end").agg(F.max("is_base").alias("is_base"))
 
-    w = Window.partitionBy("id", "th").orderBy("start", F.col("is_base").desc(), "end", "k")
-    base_end, base_start = F.when(F.col("is_base"), F.col("end")), F.when(F.col("is_base"), F.col("start"))
+    w = Window.partitionBy("id", "th").orderBy("start", F.col("is_base").desc(), F.col("end").desc(), "k")
+    base_start = F.when(F.col("is_base"), F.col("start"))
     rows = rows.withColumn("over", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("under", F.first(base_start, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     clear = (F.col("over") <= F.col("start")) & (F.col("under").isNull() | (F.col("under") >= F.col("end")))
     rows = rows.where(F.col("is_base") | clear)
     span = F.struct("k", "start", "end")
     per = rows.groupBy("id", "th").agg(F.collect_list(F.when(F.col("is_base"), span)).alias("base"), F.collect_list(span).alias("spans"))
-    per = per.select(F.col("id").alias("hid"), F.col("th").alias("hth"), F.array_sort("base").alias("base"), F.array_sort("spans").alias("spans"))
-    out = base.select("id", "th")
-    out = out.join(per, out["id"].eqNullSafe(per["hid"]) & (out["th"] == per["hth"]), "left")
+    return per.select(F.col("id").alias("hid"), F.col("th").alias("hth"), F.array_sort("base").alias("base"), F.array_sort("spans").alias("spans"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), *more)
+
+
+def _with_spans(rows: DataFrame, per: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<k:int,start:bigint,end:bigint>>")
-    return out.select(F.col("id").alias(id_col), F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    out = rows.join(per, rows["id"].eqNullSafe(per["hid"]) & (rows["th"] == per["hth"]), "left")
+    return out.withColumn("base", F.coalesce("base", none)).withColumn("spans", F.coalesce("spans", none))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
+    """One row per row of docs: id_col, base and spans, arrays of (k, start, end) sorted; k is the kind's place in KINDS.
+
+    Null texts count as empty and have no spans. Documents are told apart by id and text, so repeated
+    rows and null ids get the spans of their text; an empty table gives an empty result; other columns
+    are ignored. start and end are code points, end exclusive.
+    """
+    texts = _texts(docs, id_col, text_col)
+    return _with_spans(texts.select("id", "th"), _spans(texts, precision)).select(F.col("id").alias(id_col), "base", "spans")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -230,11 +304,29 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(*others, *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[{}]") -> DataFrame:
-    """docs with the text's spans replaced by their kind: rows (id_col, text_col)."""
-    found = find(docs, id_col, text_col).withColumnRenamed(id_col, "hid").dropDuplicates(["hid"])
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[{}]", precision: float = PRECISION) -> DataFrame:
+    """docs, with all their columns, in whose texts the spans are replaced by their kind.
+
+    Spans that overlap are one, named after the first of them. Null texts stay null, and every row is
+    redacted by the spans of its own text, whatever its id; an empty table gives an empty one.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    out = _with_spans(_texts(docs, id_col, text_col, row), _spans(_texts(docs, id_col, text_col), precision))
+
+    def merge(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["k"].alias("k"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    by_start = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
+    kind = "array<struct<k:int,start:bigint,end:bigint>>"
+    out = out.withColumn("cuts", F.when(F.size("spans") > 0, F.aggregate(by_start, F.array().cast(kind), merge)).otherwise(F.array().cast(kind)))
     names = F.array(*(F.lit(mark.format(k)) for k in KINDS))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(found, F.col("id").eqNullSafe(F.col("hid")), "left")
-    spans = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], 1).when(a["start"] > b["start"], -1).otherwise(0))
-    cut = F.aggregate(spans, F.col("t"), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"].cast("int")), names[s["k"]], F.substr(t, s["end"].cast("int") + 1)))
-    return out.select(F.col("id").alias(id_col), cut.alias(text_col))
+
+    def piece(s: Column, i: Column) -> Column:
+        begin = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("cuts", i - 1)["end"])
+        return F.concat(F.substr("text", (begin + 1).cast("int"), (s["start"] - begin).cast("int")), names[s["k"]])
+
+    tail = F.substr("text", (F.element_at("cuts", -1)["end"] + 1).cast("int"))
+    clean = F.when(F.size("cuts") > 0, F.concat(F.array_join(F.transform("cuts", piece), ""), tail)).otherwise(F.col("text"))
+    return out.select("row", clean.alias("clean")).select(*(F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))

@@ -79,6 +79,44 @@ def test_trees_add_glued_numbers_and_leave_clean_text_alone(spark):
     assert not any(got[k] for k in range(300, 450))
 
 
+WIDE_ONLY = [
+    ("call 555-010-9999 now", "phone", "555-010-9999"), ("phone: 030 1234567", "phone", "030 1234567"), ("write to jane.roe (at) example (dot) net please", "email", "jane.roe (at) example (dot) net"),
+    ("contact p.young [at] mail [dot] example [dot] org", "email", "p.young [at] mail [dot] example [dot] org"), ("mail: lena at beispiel dot de", "email", "lena at beispiel dot de"),
+    ("my card 3782 822463 10005 expires", "card", "3782 822463 10005"), ("tel. (212) 555-0147", "phone", "(212) 555-0147"), ("Fax 0221 4710 815 or so", "phone", "0221 4710 815"),
+    ("text me on 917.555.0123", "phone", "917.555.0123"), ("ring 1-800-555-0199 after", "phone", "1-800-555-0199"),
+]
+CLEAN = ["order 555-010-9999 shipped", "isbn 978-3-16-148410-0", "on 2024-01-15 and 15.01.2024 it was", "a total of 1 234 567 people", "serial 030 1234567", "version 10.20304050", "look at this dot here", "we met at ten dot sharp", "part 3782 822463 10006", "pi is 3.14159265358979", "between 1990 2000 2010 2020", "ticket 00123456789 was closed"]
+
+
+def test_trees_find_what_the_base_rules_miss(spark):
+    texts = [t for t, _, _ in WIDE_ONLY] + CLEAN
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(frame(spark, list(enumerate(texts))))).collect()}
+    found = 0
+    for k, (text, kind, span) in enumerate(WIDE_ONLY):
+        assert got[k]["n_email"] + got[k]["n_ip"] + got[k]["n_card"] + got[k]["n_phone"] == 0
+        at = text.index(span)
+        found += got[k]["spans"] == f"{kind}:{at}:{at + len(span)}"
+    assert found >= 0.9 * len(WIDE_ONLY), [got[k]["spans"] for k in range(len(WIDE_ONLY))]
+    assert [got[len(WIDE_ONLY) + k]["spans"] for k in range(len(CLEAN))] == [""] * len(CLEAN)
+
+
+def test_seeds_are_labelled_both_ways_and_held_out_precision_is_kept(spark):
+    rows = pii.seeds()
+    assert 0.3 < sum(r[4] for r in rows) / len(rows) < 0.7 and len({r[1] for r in rows}) > 500
+    _, trees, levels = pii.trained(spark)
+    assert trees and all(np.isfinite(levels[k]) for k in (0, 2, 3))
+
+
+def test_redaction_by_row_and_with_overlaps(spark):
+    rows = [(None, "nothing here"), (None, "mail me@home.org now"), (7, "plain words"), (7, "x me@home.org"), (8, "x+1 555 010 9999@home.org end"), (9, "a@b.co, +1 555 010 9999; 10.0.0.1"), (10, None), (11, "")]
+    docs = frame(spark, rows)
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    texts = sorted((r["doc_id"] or 0, r["text"] or "", r["best"]) for r in got.collect())
+    assert [t for _, t, _ in texts] == ["mail [email] now", "nothing here", "plain words", "x [email]", "x[phone] end", "[email], [phone]; [ip]", "", ""]
+    assert all(b == "z" for _, _, b in texts)
+
+
 def test_awkward_rows_and_redaction(spark):
     docs = awkward(spark, [(8, "write to me@home.org soon"), (8, "write to me@home.org soon"), (None, "me@home.org")])
     got = pii.digest(pii.find(docs)).collect()
