@@ -15,6 +15,15 @@ anchors. Fingerprints are compared per anchor, and only there.
 Nothing is dropped or capped: equal fingerprints are joined before copying, an anchor with more
 than BLOCK fingerprints is compared in pairs of blocks, and a task returns a spanning forest of
 the links it finds, which has as many rows as its fingerprints at most.
+
+keep_one, for corpora that keep one text of each group, links texts whose sets of five-word shingles
+have a Jaccard similarity of ALIKE or more. Its fingerprints are wider, WIDE bits of the distinct
+shingles, as at that similarity about a seventh of all bits differ; five blocks of 23 bits have the
+4,096 codewords of the Golay code as anchors, and a fingerprint is copied to all anchors within the
+covering radius plus one bit of each block. Two fingerprints that differ in two bits or fewer of any
+block meet, so all pairs up to 14 differing bits do, and most others by chance (see the README for
+measured recall). What meets, differs in at most WIDE_THRESHOLD bits and has sizes that allow the
+similarity is a candidate; only pairs whose shingles prove it are linked.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mvspark.llm.common import connected_components, keyed, row_key, stored, text_batches
+from mvspark.llm.common import checked_broadcast, connected_components, keyed, row_key, stored, text_batches
 
 BITS, WORDS, SEED, THRESHOLD = 64, 3, 42, 2
 #: Most fingerprints of one anchor that are compared with one another in one task.
@@ -36,6 +45,10 @@ BLOCK = 2048
 N, RADIUS = 23, 3
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 POLY = 0b101011100011
+#: Of keep_one: words a shingle, similarity, bits, blocks, and bits in which candidates differ at most.
+ALIKE_WORDS, ALIKE, WIDE, BLOCKS, WIDE_THRESHOLD = 5, 0.8, 128, 5, 32
+#: Most fingerprints of one anchor of keep_one in one task, rows compared at a time, and pairs that share one copy of a text's shingles.
+WIDE_BLOCK, TILE, SHARE = 1 << 15, 512, 256
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -234,9 +247,247 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, one for each group: that of the smallest id (of equal ids, the smallest hash of the text)."""
-    base, by_fp = _grouped(docs, id_col, text_col)
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "_i")).alias("first")
-    kept = base.join(by_fp.select("fp", "root"), "fp").groupBy("root").agg(first).select("first._i", "first._th")
-    return keyed(docs, id_col, text_col).join(kept, ["_i", "_th"], "left_semi").dropDuplicates(["_i", "_th"]).select("_row.*")
+# one text of each group
+
+
+def shingles(text: str | None, words: int = ALIKE_WORDS) -> np.ndarray:
+    """128-bit hashes, as rows of 16 bytes, of the distinct shingles of a text, in ascending order."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros((0, 16), dtype=np.uint8)
+    digest, join = xxhash.xxh3_128_digest, b" ".join
+    found = sorted({digest(join(tokens[i : i + words])) for i in range(max(1, len(tokens) - words + 1))})
+    return np.frombuffer(b"".join(found), dtype=np.uint8).reshape(-1, 16)
+
+
+def _low(hashes: np.ndarray) -> bytes:
+    """64 bits of each hash, sorted: what similarities are computed from."""
+    return np.sort(np.ascontiguousarray(hashes[:, :8]).view(np.int64).ravel()).tobytes()
+
+
+def _wide(hashes: np.ndarray) -> tuple[int, int]:
+    counts = np.zeros(WIDE, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        counts += np.unpackbits(hashes[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not len(hashes):
+        return 0, 0
+    # where as many have a bit as not, the first hash decides, which similar sets mostly share
+    bits = counts * 2 + np.unpackbits(hashes[0], bitorder="little") > len(hashes)
+    low, high = np.packbits(bits, bitorder="little").view("<i8").tolist()
+    return low, high
+
+
+@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType())]))
+def wide_udf(texts: pd.Series) -> pd.DataFrame:
+    """The set of a text as one hash, its size, and its wide fingerprint."""
+    rows = []
+    for text in texts:
+        hashes = shingles(text)
+        rows.append((np.uint64(xxhash.xxh64_intdigest(_low(hashes), SEED)).astype(np.int64), len(hashes), *_wide(hashes)))
+    return pd.DataFrame(rows, columns=["node", "size", "f1", "f2"]).astype({"node": np.int64, "size": np.int32, "f1": np.int64, "f2": np.int64})
+
+
+@F.pandas_udf(T.BinaryType())
+def set_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([_low(shingles(t)) for t in texts], dtype=object)
+
+
+def wide_anchors(f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (row, anchor) pairs of wide fingerprints (two halves each, unsigned): see the module's text."""
+    if not _TABLES:
+        _TABLES.append(_golay())
+    low, high, leader, (far, start) = _TABLES[0]
+    mask, u = np.uint64((1 << N) - 1), np.uint64
+    parts = (f1, f1 >> u(23), (f1 >> u(46)) | (f2 << u(18)), f2 >> u(5), f2 >> u(28))
+    rows, found = [], []
+    for k, part in enumerate(parts):
+        b = (part & mask).astype(np.int64)
+        syndrome = low[b & 4095] ^ high[b >> 12]
+        count = start[syndrome + 1] - start[syndrome]
+        row = np.repeat(np.arange(len(b)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[syndrome], count)
+        rows += [np.arange(len(b)), row]
+        found += [k << N | b ^ leader[syndrome], k << N | b[row] ^ far[at]]
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _wide_copies(nodes: DataFrame, block: int) -> DataFrame:
+    """Rows (anchor, i, j, own, *columns of nodes), a group being one pair of blocks of one anchor, in order of size."""
+    names = nodes.columns
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 1 << 12):
+                part = pdf.iloc[at : at + (1 << 12)]
+                rows, found = wide_anchors(part["f1"].to_numpy(np.int64).view(np.uint64), part["f2"].to_numpy(np.int64).view(np.uint64))
+                yield part.iloc[rows].assign(anchor=found.astype(np.int32))
+
+    copies = nodes.mapInPandas(spread, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema) + ", anchor int")
+    m = F.ceil(F.count("*") / block).cast("int").alias("m")
+    sizes = F.broadcast(stored(copies.groupBy("anchor").agg(m), "anchors"))  # BLOCKS * 4,096 rows at most
+    rows = copies.join(sizes, "anchor").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("anchor", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", *names)
+    return rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "size")
+
+
+def _tiles(pdf: pd.DataFrame, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, others, hit, distance) of a group in order of size: candidates, each pair once (others at or after the rows)."""
+    f1, f2 = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("f1", "f2"))
+    size, own, node = pdf["size"].to_numpy(), pdf["own"].to_numpy(), pdf["node"].to_numpy()
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    for a in range(0, len(pdf), TILE):
+        rows = np.arange(a, min(len(pdf), a + TILE))
+        end = int(np.searchsorted(size, size[rows[-1]] / alike + 1e-6, side="right"))
+        for b in range(a, end, 4096):
+            others = np.arange(b, min(end, b + 4096))
+            distance = np.bitwise_count(f1[rows][:, None] ^ f1[others][None])
+            distance += np.bitwise_count(f2[rows][:, None] ^ f2[others][None])
+            hit = (distance <= WIDE_THRESHOLD) & (rows[:, None] < others[None]) & (node[rows][:, None] != node[others][None])
+            if i != j:  # pairs within one block are another task's
+                hit &= own[rows][:, None] != own[others][None]
+            if hit.any():
+                hit &= size[others][None] * alike <= size[rows][:, None] + 1e-6
+                if hit.any():
+                    yield rows, others, hit, distance
+
+
+def _by_group(batches: Iterator[pd.DataFrame], run) -> Iterator[pd.DataFrame]:
+    """run() on each group (anchor, i, j) of sorted batches; the last group of a batch waits for the next."""
+    kept = None
+    for pdf in batches:
+        pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        keys = pdf[["anchor", "i", "j"]].to_numpy()
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))).tolist()
+        kept = pdf.iloc[first[-1] :]
+        done = [out for a, b in zip(first, first[1:]) if b - a > 1 and len(out := run(pdf.iloc[a:b]))]
+        if done:
+            yield pd.concat(done, ignore_index=True)
+    if kept is not None and len(kept) > 1:
+        yield run(kept)
+
+
+def _candidate_groups(alike: float):
+    """Rows (node, root, score): of each node that has candidates the smallest node they join it to, and how close they are."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].to_numpy()
+        root, score, moved = node.copy(), np.zeros(len(pdf), dtype=np.int64), []
+        for rows, others, hit, distance in _tiles(pdf, alike):
+            close = np.where(hit, WIDE_THRESHOLD + 1 - distance.astype(np.int64), 0)
+            score[rows] += close.sum(1)
+            score[others] += close.sum(0)
+            x, y = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+            some, last = hit[np.ix_(x, y)], np.iinfo(np.int64).max
+            left, right = root[rows[x]].copy(), root[others[y]].copy()
+            before = np.concatenate([left, right])
+            while True:
+                new = np.minimum(left, np.where(some, right[None], last).min(1))
+                back = np.minimum(right, np.where(some, new[:, None], last).min(0))
+                if (new == left).all() and (back == right).all():
+                    break
+                left, right = new, back
+            after = np.concatenate([left, right])
+            moved.append(np.stack([before, after], 1)[before != after])
+            np.minimum.at(root, rows[x], left)
+            np.minimum.at(root, others[y], right)
+        edges = np.unique(np.concatenate(moved), axis=0) if moved else np.empty((0, 2), dtype=np.int64)
+        own = np.flatnonzero(score)
+        return pd.DataFrame({"node": np.concatenate([node[own], edges[:, 0]]), "root": np.concatenate([root[own], edges[:, 1]]), "score": np.concatenate([score[own], np.zeros(len(edges), dtype=np.int64)])})
+
+    return lambda batches: _by_group(batches, run)
+
+
+def _candidate_pairs(alike: float):
+    """Candidates (a, b) whose groups differ."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, group, found = pdf["node"].to_numpy(), pdf["grp"].to_numpy(), []
+        for rows, others, hit, _ in _tiles(pdf, alike):
+            x, y = np.nonzero(hit & (group[rows][:, None] != group[others][None]))
+            found.append(np.stack([node[rows[x]], node[others[y]]], 1))
+        pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        return pd.DataFrame(np.stack([pairs.max(1), pairs.min(1)], 1) if len(pairs) else pairs, columns=["a", "b"])
+
+    return lambda batches: _by_group(batches, run)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """The pairs (a, b) whose sets are that similar. A text in more than SHARE pairs is compared in several tasks."""
+
+    def attach(rows: DataFrame, end: str, other: str) -> DataFrame:
+        degree = stored(pairs.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("m")), "degrees")
+        degree = checked_broadcast(degree)
+        copies = sets.join(degree, "node").select(F.col("node").alias(end), F.col("set").alias(f"set_{end}"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("copy"))
+        rows = rows.join(degree.withColumnRenamed("node", end), end).withColumn("copy", F.pmod(F.xxhash64(other), F.col("m")).cast("int")).drop("m")
+        return rows.join(copies, [end, "copy"]).drop("copy")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = np.zeros(len(pdf), dtype=bool)
+            for k, (left, right) in enumerate(zip(pdf["set_a"], pdf["set_b"])):
+                every = np.sort(np.frombuffer(left + right, dtype=np.int64))
+                keep[k] = np.count_nonzero(every[1:] == every[:-1]) * (1 + alike) >= alike * len(every) - 1e-9
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return attach(attach(pairs, "a", "b"), "b", "a").select("a", "b", "set_a", "set_b").mapInPandas(check, "a long, b long")
+
+
+def alike_links(nodes: DataFrame, sets_of, alike: float = ALIKE, block: int = WIDE_BLOCK) -> DataFrame:
+    """Edges (a, b) between distinct sets (columns node, size, f1, f2) that connect just what proven candidates connect.
+
+    sets_of(members) gives rows (node, set) for a table of nodes. First each candidate is compared with
+    the one of its group that is closest to the others; then all candidates that are in different groups
+    by then, of groups that this left apart. So a group that one text holds together costs rows in
+    proportion to its size.
+    """
+    near = stored(_wide_copies(nodes, block).mapInPandas(_candidate_groups(alike), "node long, root long, score long"), "candidates")
+    groups = connected_components(near.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    groups = stored(groups.join(near.groupBy("node").agg(F.sum("score").alias("score")), "node"), "groups")
+    sets = stored(sets_of(groups.select("node")), "sets")
+    middle = groups.groupBy("root").agg(F.min_by("node", F.struct(-F.col("score"), "node")).alias("b"))
+    star = groups.join(middle, "root").where("node <> b").select(F.col("node").alias("a"), "b")
+    first = stored(_alike(stored(star, "stars"), sets, alike), "alike")
+    # what a middle holds is one group now; the others are left to be compared
+    held = first.select(F.col("a").alias("node"), F.col("b").alias("grp"))
+    members = groups.join(middle, "root").join(held, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    open_ = members.where("node <> b AND grp = node").select("root").distinct()
+    members = stored(members.join(open_, "root", "left_semi").select("node", "grp", "b"), "members")
+    rest = nodes.join(checked_broadcast(members.select("node", "grp")), "node")
+    pairs = _wide_copies(rest, block).mapInPandas(_candidate_pairs(alike), "a long, b long").distinct()
+    # pairs with a middle have been compared
+    pairs = stored(pairs.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+    return first.union(_alike(pairs, sets, alike))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE) -> DataFrame:
+    """The rows of docs, with all their columns, one for each group of linked texts: that of the smallest id (of equal ids, the smallest hash of the text).
+
+    Null and blank texts have the empty set and are one group. Rows that repeat an id and its text are
+    one row; of texts with equal sets one stays; null ids are the largest. An empty table gives an
+    empty one.
+    """
+    text_batches(docs.sparkSession)
+    base = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), wide_udf(F.col(text_col)).alias("w"))
+    base = stored(base.select("_id", "_i", "_th", "w.*"), "fingerprints")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "_i")
+    nodes = stored(base.groupBy("node").agg(F.first("size").alias("size"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.min(order).alias("first")), "nodes")
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        keys = stored(nodes.join(members, "node").select("node", "first._i", "first._th"), "keys")
+        texts = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
+        texts = texts.join(checked_broadcast(keys), ["_i", "_th"]).groupBy("node").agg(F.first("text").alias("text"))
+        return texts.select("node", set_udf("text").alias("set"))
+
+    group = connected_components(alike_links(nodes.select("node", "size", "f1", "f2"), sets_of, alike))
+    roots = nodes.join(group, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    kept = roots.select("first._i", "first._th", F.lit(True).alias("kept"))
+    keys = base.groupBy("_i", "_th").agg(F.count("*").alias("n"))
+    other = stored(keys.join(kept, ["_i", "_th"], "left").where("kept is null or n > 1").select("_i", "_th", F.col("kept").isNotNull().alias("kept")), "others")
+    # few rows go or repeat, so their keys are sent to the texts and not the texts to the keys
+    rows = keyed(docs, id_col, text_col)
+    once = rows.join(checked_broadcast(other.drop("kept")), ["_i", "_th"], "left_anti")
+    repeated = rows.join(checked_broadcast(other.where("kept").drop("kept")), ["_i", "_th"], "left_semi").dropDuplicates(["_i", "_th"])
+    return once.unionByName(repeated).select("_row.*")
