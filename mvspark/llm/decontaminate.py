@@ -41,17 +41,19 @@ def _kept(chunks: DataFrame) -> DataFrame:
     A window hands on a new gram if its smallest hash is another one than that of the window before,
     or if that one's gram has just left.
     """
+    own = chunks.columns
     rows = chunks.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - SPAN)).alias("j"))
-    gone, *grams = [F.xxhash64(*(F.get("wh", F.col("j") + (a + b)) for b in range(K))) for a in range(-1, WINDOW)]
-    least, before = F.least(*grams), F.least(gone, *grams[:-1])
+    # step by step, so that each gram is hashed once: g0 has left, the others are the window
+    rows = rows.select(*own, "j", *(F.xxhash64(*(F.get("wh", F.col("j") + (a + b)) for b in range(K))).alias(f"g{a + 1}") for a in range(-1, WINDOW)))
+    names = [f"g{a}" for a in range(WINDOW + 1)]
+    rows = rows.select("*", F.least(*names[1:]).alias("least"), F.least(*names[:-1]).alias("before"))
     place = F.lit(WINDOW - 1)
     for a in range(WINDOW - 2, -1, -1):
-        place = F.when(grams[a] == least, a).otherwise(place)
-    new = (F.col("j") == 0) | (least != before) | (gone == before)
-    # as an array, so that the conditions are not computed a second time in a filter below
-    rows = rows.withColumn("new", F.when(new, F.array(F.struct((F.col("j") + place).alias("p"), least.alias("f"))))).drop("wh", "j")
-    return rows.select(*(c for c in rows.columns if c != "new"), F.inline("new"))
+        place = F.when(F.col(names[a + 1]) == F.col("least"), a).otherwise(place)
+    new = (F.col("j") == 0) | (F.col("least") != F.col("before")) | (F.col("g0") == F.col("before"))
+    # as an array, as the conditions would be moved below the steps as a filter
+    return rows.select(*own, F.inline(F.when(new, F.array(F.struct((F.col("j") + place).alias("p"), F.col("least").alias("f"))))))
 
 
 def _span_at(w: Column, start: Column, n) -> Column:
