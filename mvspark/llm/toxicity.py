@@ -120,21 +120,17 @@ def calibrated(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     return Machine(a * machine.bias + b, machine.kept, a * machine.weights, a**0.5 * machine.factors)
 
 
-def _batches(docs_terms: tuple[np.ndarray, np.ndarray], order: np.ndarray, alive: np.ndarray) -> list[tuple]:
-    """The sample in batches: documents, terms by document, the document of each, their order by term, and the distinct terms."""
-    at, start = docs_terms
-    out = []
-    for a in range(0, len(order), BATCH):
-        docs = order[a : a + BATCH]
-        term = np.concatenate([at[start[d] : start[d + 1]] for d in docs])
-        local = np.repeat(np.arange(len(docs), dtype=np.int32), start[docs + 1] - start[docs])
+def _batch(at: np.ndarray, start: np.ndarray, docs: np.ndarray, alive: np.ndarray | None) -> tuple:
+    """One batch of the sample: documents, terms by document, the document of each, their order by term, and the distinct terms."""
+    term = np.concatenate([at[start[d] : start[d + 1]] for d in docs])
+    local = np.repeat(np.arange(len(docs), dtype=np.int16), start[docs + 1] - start[docs])
+    if alive is not None:
         use = alive[term]
         term, local = term[use], local[use]
-        by_term = np.argsort(term, kind="stable").astype(np.int32)
-        ordered = term[by_term]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
-        out.append((docs, term, local, by_term, first, ordered[first]))
-    return out
+    by_term = np.argsort(term, kind="stable").astype(np.int32)
+    ordered = term[by_term]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    return docs, term, local, by_term, first, ordered[first]
 
 
 def _summed(values: np.ndarray, local: np.ndarray, n: int) -> np.ndarray:
@@ -153,24 +149,30 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
         only = -9.0 if not len(rows) or labels.max() == 0 else 9.0
         return Machine(only, np.zeros(0, dtype=np.int32), np.zeros(0), np.zeros((0, FACTORS)))
     n, n1 = len(rows), labels.sum()
-    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
+    # of a sample of some million terms arrays are kept narrow and few, as this runs on the driver
+    flat = np.concatenate(rows)
     kept = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= MIN_TEXTS)
     slot = np.full(BUCKETS, -1, dtype=np.int32)
     slot[kept] = np.arange(len(kept))
-    use, of = slot[flat] >= 0, np.repeat(np.arange(n), size)
-    known = slot[flat[use]], np.searchsorted(of[use], np.arange(n + 1))
+    at = slot[flat]
+    del flat
+    ends = np.cumsum([0, *(len(r) for r in rows)])
+    start = np.concatenate([[0], np.cumsum(at >= 0, dtype=np.int32)])[ends]
+    at = at[at >= 0]
 
     rng = np.random.default_rng(SEED)
     w, v = np.zeros(len(kept), dtype=np.float32), rng.normal(0, SPREAD, (len(kept), FACTORS)).astype(np.float32)
     bias, gw, gv, gb = np.log(n1 / (n - n1)), np.full_like(w, 1e-4), np.full_like(v, 1e-4), 1e-6
     balance = np.where(labels == 1, (n - n1) / n1, 1.0) ** 0.5
     order = rng.permutation(n)
-    batches = _batches(known, order, np.ones(len(kept), dtype=bool))
+    parts = [order[a : a + BATCH] for a in range(0, n, BATCH)]
+    batches: list[tuple] = []
     for epoch in range(EPOCHS):
         if epoch == WARM:
-            batches = _batches(known, order, (w != 0) | (v != 0).any(1))
-        for k in rng.permutation(len(batches)):
-            docs, term, local, by_term, first, some = batches[k]
+            alive = (w != 0) | (v != 0).any(1)
+            batches = [_batch(at, start, docs, alive) for docs in parts]
+        for k in rng.permutation(len(parts)):
+            docs, term, local, by_term, first, some = batches[k] if batches else _batch(at, start, parts[k], None)
             vt = v[term]
             sums = _summed(vt, local, len(docs))
             z = bias + _summed(w[term], local, len(docs)) + 0.5 * ((sums**2).sum(1) - _summed((vt**2).sum(1), local, len(docs)))
@@ -180,15 +182,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
             if not len(some):
                 continue
             gl = g.astype(np.float32)[local]
-            dw = np.add.reduceat(gl[by_term], first) + DECAY / len(batches) * w[some]
-            dv = np.add.reduceat((gl[:, None] * (sums.astype(np.float32)[local] - vt))[by_term], first, axis=0) + DECAY / len(batches) * v[some]
+            dw = np.add.reduceat(gl[by_term], first) + DECAY / len(parts) * w[some]
+            dv = np.add.reduceat((gl[:, None] * (sums.astype(np.float32)[local] - vt))[by_term], first, axis=0) + DECAY / len(parts) * v[some]
             gw[some] += dw**2
             gv[some] += dv**2
             step = RATE / np.sqrt(gw[some])
             moved = w[some] - step * dw
-            w[some] = np.sign(moved) * np.maximum(np.abs(moved) - step * SHRINK / len(batches), 0)
+            w[some] = np.sign(moved) * np.maximum(np.abs(moved) - step * SHRINK / len(parts), 0)
             moved = v[some] - FACTOR_RATE / np.sqrt(gv[some]) * dv
-            short = FACTOR_RATE / np.sqrt(gv[some].mean(1)) * FACTOR_SHRINK / len(batches)
+            short = FACTOR_RATE / np.sqrt(gv[some].mean(1)) * FACTOR_SHRINK / len(parts)
             v[some] = moved * np.maximum(1 - short / np.maximum(np.sqrt((moved**2).sum(1)), 1e-12), 0)[:, None]
     counts = (w != 0) | (v != 0).any(1)
     return Machine(float(bias), kept[counts].astype(np.int32), w[counts].astype(float), v[counts].astype(float))
@@ -214,14 +216,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"h": pdf["h"], "y": pdf["y"], "t": [terms(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"h": pdf["h"], "y": pdf["y"], "t": [np.sort(terms(t)) for t in pdf["text"]]})
 
     got = rows.select(F.xxhash64("id", "th").alias("h"), "y", "text").mapInPandas(run, "h long, y int, t array<int>").toArrow()
     values = got["t"].combine_chunks()
     flat, ends = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy())]).astype(int)
     y = got["y"].to_numpy()
     order = np.argsort(got["h"].to_numpy(), kind="stable")
-    return calibrated([np.sort(flat[ends[k] : ends[k + 1]]) for k in order], y[order])
+    return calibrated([flat[ends[k] : ends[k + 1]] for k in order], y[order])
 
 
 def _by_text(docs: DataFrame, machine: Machine):
