@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process (tests)."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="mvspark-")
         sc.setCheckpointDir(folder)
     elif not sc.getCheckpointDir():
@@ -33,7 +35,7 @@ TEXT_BATCH = 1000
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Makes Arrow batches smaller in this session, unless it has smaller ones already."""
+    """Makes Arrow batches smaller in this session, from now on, unless it has smaller ones already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
         spark.conf.set(key, str(TEXT_BATCH))
