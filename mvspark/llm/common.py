@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that start from now on import this package, where driver and executors share the code's folder."""
+    root = str(Path(__file__).resolve().parents[2])
+    have = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in have.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{have}" if have else root
+
+
 #: Rows of an Arrow batch where texts go to Python: with Spark's own 10,000 a task would hold tens of MB of text several times over.
 TEXT_BATCH = 1000
 

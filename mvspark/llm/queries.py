@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mvspark.llm import decontaminate, embeddings, language, mixing, pii, simhash, token_counts, token_store, toxicity, url_filter
-from mvspark.llm.common import shared_dir, table
+from mvspark.llm.common import importable, shared_dir, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +129,7 @@ def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
     """Lets Python workers import this package wherever the driver was started."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root = str(Path(__file__).resolve().parents[2])
-        have = spark.sparkContext.environment.get("PYTHONPATH", "")
-        if root not in have.split(":"):
-            spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{have}" if have else root
+        importable(spark)
         return query(spark, sf_dir)
 
     return run
