@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from mvspark.llm import decontaminate, mixing, simhash, token_store, toxicity
-from mvspark.llm.common import shared_dir, stored, table
+from mvspark.llm.common import importable, shared_dir, stored, table
 
 #: Most passes over a source in the mix, whose budget is the number of tokens that come in.
 REPEATS = 1.25
@@ -77,6 +77,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over documents; what a stage kept is written in the shared folder and read by the next one."""
+    importable(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
