@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from mvspark.llm.common import held_out, stored, text_batches, train_row
 
-SAMPLE, BUCKETS, STEMS, FACTORS = 16_000, 1 << 18, (4, 5), 4
+SAMPLE, BUCKETS, STEMS, FACTORS = 12_000, 1 << 18, (4, 5), 4
 #: In how many training texts a term must occur.
 MIN_TEXTS = 3
 #: Pull of the calibration to the machine's own output, which counts where few rows are held back.
@@ -156,8 +156,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     slot[kept] = np.arange(len(kept))
     at = slot[flat]
     del flat
-    ends = np.cumsum([0, *(len(r) for r in rows)])
-    start = np.concatenate([[0], np.cumsum(at >= 0, dtype=np.int32)])[ends]
+    ends = np.cumsum([0, *(len(r) for r in rows)]).tolist()
+    start = np.cumsum([0, *(np.count_nonzero(at[a:b] >= 0) for a, b in zip(ends, ends[1:]))])
     at = at[at >= 0]
 
     rng = np.random.default_rng(SEED)
@@ -219,11 +219,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"h": pdf["h"], "y": pdf["y"], "t": [np.sort(terms(t)) for t in pdf["text"]]})
 
     got = rows.select(F.xxhash64("id", "th").alias("h"), "y", "text").mapInPandas(run, "h long, y int, t array<int>").toArrow()
-    values = got["t"].combine_chunks()
-    flat, ends = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy())]).astype(int)
-    y = got["y"].to_numpy()
-    order = np.argsort(got["h"].to_numpy(), kind="stable")
-    return calibrated([flat[ends[k] : ends[k + 1]] for k in order], y[order])
+    parts = []
+    for batch in got.to_batches():  # texts are views of what was received, never copied
+        lists = batch.column("t")
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()
+        parts += [(h, y, flat[a:b]) for h, y, a, b in zip(batch.column("h").to_pylist(), batch.column("y").to_pylist(), ends[:-1].tolist(), ends[1:].tolist())]
+    parts.sort(key=lambda p: p[0])
+    return calibrated([t for _, _, t in parts], np.array([y for _, y, _ in parts], dtype=np.int64))
 
 
 def _by_text(docs: DataFrame, machine: Machine):
